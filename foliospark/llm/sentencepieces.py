@@ -30,6 +30,8 @@ from .common import chunks, parts, ragged, span_hash, strings
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+KEPT = 1_500_000
+KNOWN: dict[str, tuple] = {}  # of a worker process: hashes of stretches, sorted, and their ids
 CHAR_LEN = np.ones(256, np.int64)
 CHAR_LEN[0xC0:0xE0], CHAR_LEN[0xE0:0xF0], CHAR_LEN[0xF0:] = 2, 3, 4
 
@@ -117,7 +119,7 @@ def double_array(keys: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray,
             place[nodes[s][c]] = b + c
         queue += [nodes[s][c] for c in kids]
     last = max(i for i, x in enumerate(taken) if x) + 257
-    return base[:last].copy(), check[:last].copy(), out[:last].copy()
+    return base[:last].astype(np.int64), check[:last].copy(), out[:last].astype(np.int64)
 
 
 @dataclass
@@ -137,6 +139,8 @@ class Pieces:
     piece_start: np.ndarray
     piece_len: np.ndarray
     piece_bytes: np.ndarray
+    single: np.ndarray
+    name: str
     lists: list | None = field(default=None, repr=False)
 
     @classmethod
@@ -164,6 +168,7 @@ class Pieces:
             base, check, value, np.array(score, np.float32), np.float32(min(s for s, k in zip(score, kinds, strict=True) if k == NORMAL)) - np.float32(10), kinds.index(UNKNOWN), byte_id,
             max(len(k) for k, _ in keys), not any(b" " in k.lstrip(b" ") for k, _ in keys), np.array([c < 128 and c != 32 and c not in held for c in range(256)]),
             np.cumsum(length) - length, length, np.frombuffer(b"".join(surface), np.uint8),
+            np.isin(np.arange(256), [k[0] for k, _ in keys if len(k) == 1]), f"{path} {scores}",
         )
 
     def segments(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,55 +185,73 @@ class Pieces:
         return starts, np.searchsorted(starts, offsets)
 
     def viterbi(self, m: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, start and id of each piece of the best path of each row of bytes."""
+        """Row, start and id of each piece of the best path of each row of bytes.
+
+        Rows come longest first and are filled up with 255, which no text holds, so all of them step through
+        the trie together. best and how are the paths' arrays, laid out flat: a row has width + 1 places."""
         n, width = m.shape
-        best = np.full((n, width + 1), -np.inf, np.float32)
-        best[:, 0] = 0
-        back, pid = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
+        w = width + 1
+        m = m.ravel()
+        best = np.full(n * w, -np.inf, np.float32)
+        best[::w] = 0
+        how = np.full(n * w, -1, np.int64)  # piece id (or -1) in the high half, start in the low half
+        alive_at = n - np.searchsorted(lens[::-1], np.arange(width), "right")
         for i in range(width):
-            act = np.flatnonzero((lens > i) & (best[:, i] > -np.inf))
-            if not len(act):
+            rows = np.arange(alive_at[i])
+            place = rows * w + i
+            till = best[place]
+            live = till > -np.inf
+            if not live.all():
+                rows, place, till = rows[live], place[live], till[live]
+            if not len(rows):
                 continue
-            till, char = best[act, i], CHAR_LEN[m[act, i]]
-            single = np.zeros(len(act), bool)
-            k, node = np.arange(len(act)), np.zeros(len(act), np.int32)
+            byte = rows * width + i
+            c = m[byte]
+            char = CHAR_LEN[c]
+            single, wide = self.single[c], char.max() > 1
+            k, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
             for j in range(min(self.longest, width - i)):
-                t = self.base[node] + m[act[k], i + j]
-                ok = (self.check[t] == node) & (lens[act[k]] > i + j)
-                k, node = k[ok], t[ok]
-                if not len(k):
+                t = self.base[node] + m[byte[k] + j]
+                ok = np.flatnonzero(self.check[t] == node)
+                if not len(ok):
                     break
+                k, node = k[ok], t[ok]
                 v = self.value[node]
-                has = v >= 0
-                kk, vv = k[has], v[has]
-                single[kk[char[kk] == j + 1]] = True
-                rows, cand = act[kk], till[kk] + self.score[vv]
-                up = cand > best[rows, i + j + 1]
-                rows = rows[up]
-                best[rows, i + j + 1], back[rows, i + j + 1], pid[rows, i + j + 1] = cand[up], i, vv[up]
-            rest = ~single
-            rows, to, cand = act[rest], np.minimum(i + char[rest], lens[act[rest]]), till[rest] + self.unk_score
-            up = cand > best[rows, to]
-            rows, to = rows[up], to[up]
-            best[rows, to], back[rows, to], pid[rows, to] = cand[up], i, -1
+                has = np.flatnonzero(v >= 0)
+                if not len(has):
+                    continue
+                kk, v = k[has], v[has]
+                if wide and 0 < j < 4:
+                    single[kk[char[kk] == j + 1]] = True
+                to, cand = place[kk] + (j + 1), till[kk] + self.score[v]
+                up = np.flatnonzero(cand > best[to])
+                to = to[up]
+                best[to], how[to] = cand[up], (v[up] << 32) + i
+            if not single.all():
+                rest = np.flatnonzero(~single)
+                to, cand = place[rest] + np.minimum(char[rest], lens[rows[rest]] - i), till[rest] + self.unk_score
+                up = np.flatnonzero(cand > best[to])
+                to = to[up]
+                best[to], how[to] = cand[up], (-1 << 32) + i
         found, rows, pos = [], np.arange(n), lens.copy()
         while len(rows := rows[pos[rows] > 0]):
             p = pos[rows]
-            b, v = back[rows, p], pid[rows, p]
-            known = v >= 0
-            found.append((rows[known], b[known].astype(np.int64), v[known]))
-            if not known.all():
-                r, s, e = rows[~known], b[~known].astype(np.int64), p[~known]
+            x = how[rows * w + p]
+            b, v = x & 0xFFFFFFFF, (x >> 32).astype(np.int32)
+            if (v >= 0).all():
+                found.append((rows, b, v))
+            else:
+                known = v >= 0
+                found.append((rows[known], b[known], v[known]))
+                r, s, e = rows[~known], b[~known], p[~known]
                 if (self.byte_id >= 0).all():
                     at, r = ragged(s, e - s), np.repeat(r, e - s)
-                    found.append((r, at, self.byte_id[m[r, at]]))
+                    found.append((r, at, self.byte_id[m[r * width + at]]))
                 else:
                     found.append((r, s, np.full(len(r), self.unk_id, np.int32)))
             pos[rows] = b
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         row, start, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((start, row))
+        order = np.argsort(row * width + start, kind="stable")
         return row[order], start[order], ids[order]
 
     def viterbi_one(self, data: bytes) -> list[int]:
@@ -268,17 +291,11 @@ class Pieces:
             n = i
         return out[::-1]
 
-    def encode_bytes(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and len + 1 offsets; each distinct stretch is decoded once."""
-        starts, first = self.segments(buf, offsets)
-        if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        ends = np.append(starts[1:], len(buf))
-        _, at, inverse = np.unique(span_hash(buf, starts, ends) ^ (ends - starts).astype(np.uint64), return_index=True, return_inverse=True)
-        s, n = starts[at], ends[at] - starts[at]
-        count, parts, left = np.zeros(len(at), np.int64), [], 0
+    def stretches(self, buf: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each stretch, and all ids one after the other."""
+        count, parts, left = np.zeros(len(s), np.int64), [], 0
         while left < n.max():
-            right = max(8, 2 * left)
+            right = max(8, left * 3 // 2)
             pick = np.flatnonzero((n > left) & (n <= right))
             left = right
             if right > 64 and len(pick) < right:
@@ -287,23 +304,44 @@ class Pieces:
                     count[k] = len(ids)
                     parts.append((pick[pick == k], np.array(ids, np.int32)))
                 continue
-            step = max(1, (1 << 21) // right)
+            pick = pick[np.argsort(-n[pick], kind="stable")]
+            step = max(1, (1 << 19) // right)
             for a in range(0, len(pick), step):
                 own = pick[a : a + step]
-                m = np.zeros((len(own), int(n[own].max())), np.uint8)
+                m = np.full((len(own), int(n[own[0]])), 255, np.uint8)
                 m[np.repeat(np.arange(len(own)), n[own]), ragged(np.zeros(len(own), np.int64), n[own])] = buf[ragged(s[own], n[own])]
                 row, _, ids = self.viterbi(m, n[own])
                 count[own] = np.bincount(row, minlength=len(own))
                 parts.append((own, ids))
-        begin = np.zeros(len(at), np.int64)
+        begin = np.zeros(len(s), np.int64)
         total = 0
         for own, ids in parts:
             begin[own] = total + np.cumsum(count[own]) - count[own]
             total += len(ids)
-        ids = np.concatenate([x for _, x in parts])
-        each = count[inverse]
+        return count, np.concatenate([x for _, x in parts])[ragged(begin, count)]
+
+    def encode_bytes(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and len + 1 offsets. A stretch is decoded once; a worker remembers ``KEPT`` of them."""
+        starts, first = self.segments(buf, offsets)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        ends = np.append(starts[1:], len(buf))
+        hashes, at, inverse = np.unique(span_hash(buf, starts, ends) ^ (ends - starts).astype(np.uint64), return_index=True, return_inverse=True)
+        known, begin, count, ids = KNOWN.get(self.name) or (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        place = np.searchsorted(known, hashes)
+        new = np.flatnonzero(known[np.minimum(place, len(known) - 1)] != hashes) if len(known) else np.arange(len(hashes))
+        if len(new):
+            c, more = self.stretches(buf, starts[at[new]], ends[at[new]] - starts[at[new]])
+            b = np.cumsum(c) - c + len(ids)
+            known, begin, count, ids = np.insert(known, place[new], hashes[new]), np.insert(begin, place[new], b), np.insert(count, place[new], c), np.concatenate([ids, more])
+            if len(known) <= KEPT:
+                KNOWN[self.name] = known, begin, count, ids
+            else:
+                KNOWN.pop(self.name, None)
+            place = np.searchsorted(known, hashes)
+        each = count[place][inverse]
         ends_of = np.concatenate([[0], np.cumsum(each)])
-        return ids[ragged(begin[inverse], each)], ends_of[first]
+        return ids[ragged(begin[place][inverse], each)], ends_of[first]
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         known = strings(texts)
