@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK = 1 << 21
 ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -84,6 +85,10 @@ def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
         a = b
 
 
+#: ASCII but letters and digits; with it, a word is a run of letters and digits of any script.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
 @lru_cache(4)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of an odd number and of its inverse modulo 2^64."""
@@ -111,11 +116,11 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix((s[ends] - s[starts]) * q[starts])
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and len + 1 offsets of each text's first word."""
+def words(buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and len + 1 offsets of each text's first word. between: the bytes that part words."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[buf]
+    solid = ~between[buf]
     first = np.ones(len(buf), bool)
     first[1:] = ~solid[:-1]
     inner = offsets[:-1][offsets[:-1] < len(buf)]
@@ -159,3 +164,23 @@ def parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what a batch grows into stays small too."""
     for a in range(0, batch.num_rows, rows):
         yield batch.slice(a, rows)
+
+
+def sample(docs: DataFrame, rows: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """About so many rows, chosen by their ids' hashes, so that a task that runs again takes the same."""
+    n = docs.count()
+    if n <= rows:
+        return docs
+    return docs.where(F.pmod(F.xxhash64(F.lit(seed), docs[key].cast("string")), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, key: str = "doc_id", text: str = "text") -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels (0 or 1) of up to per_class documents of each class, in the order of their ids' hashes.
+
+    Labels of one id are averaged; null ids and labels are left out. The bound keeps what the driver holds fixed."""
+    votes = labels.where(labels[key].isNotNull() & labels[label].isNotNull()).groupBy(labels[key].alias("k")).agg((F.avg(labels[label]) >= 0.5).cast("int").alias("label"))
+    order = F.xxhash64(F.lit(seed), F.col("k").cast("string"))
+    chosen = votes.where("label = 0").orderBy(order).limit(per_class).unionByName(votes.where("label = 1").orderBy(order).limit(per_class))
+    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["k"]).select("k", docs[text].cast("string").alias("text"), "label")
+    found = rows.toArrow().sort_by([("k", "ascending"), ("text", "ascending")])
+    return strings(found["text"]), found["label"].to_numpy().astype(np.int64)

@@ -6,22 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentencepieces
+from . import dac, mixing, quality, sentencepieces, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are kept, with their scores."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).where("keep")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are flagged, with the chain's probabilities."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.flagged(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.encode_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_sentencepiece, op9_mixing)}
+    return {f.__name__: f for f in (op1_quality, op5_sentencepiece, op6_toxicity, op8_token_codes, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
