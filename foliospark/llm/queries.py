@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, mixing, quality, sentencepieces, toxicity
+from . import dac, mixing, quality, secrets, sentencepieces, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.flagged(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
 def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op5_sentencepiece, op6_toxicity, op8_token_codes, op9_mixing)}
+    return {f.__name__: f for f in (op1_quality, op5_sentencepiece, op6_toxicity, op7_secrets, op8_token_codes, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
