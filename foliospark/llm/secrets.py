@@ -2,7 +2,7 @@
 
 A candidate is a word (between white space), less quotes and brackets around it, that has 8 bytes at
 least and a digit, or a value of 6 bytes at least after ``=`` or ``:``, or 20 bytes at least with changes
-of case; after ``=`` or ``:`` (but not ``://``) the value is the candidate and the name its surroundings.
+of case, or 16 capitals; after ``=`` or ``:`` (but not ``://``) the value is the candidate and the name its surroundings.
 Cheap byte counts over the whole text find them, so all of a text is looked at.
 
 The network sees 32 bytes before, the candidate and 16 bytes after. Each byte is embedded by its
@@ -55,7 +55,7 @@ def candidates(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
     turn = np.zeros(len(buf), bool)
     turn[1:] = UPPER[buf[1:]] & LOWER[buf[:-1]]
-    take = (within(DIGIT[buf]) > 0) | (within((buf == 61) | (buf == 58)) > 0) | ((ends - starts)[long] >= 20) & (within(turn) > 2)
+    take = (within(DIGIT[buf]) > 0) | (within((buf == 61) | (buf == 58)) > 0) | ((ends - starts)[long] >= 20) & (within(turn) > 2) | (within(UPPER[buf]) >= 16)
     own = long[take]
     doc = np.searchsorted(first, own, "right") - 1
     out = []
@@ -70,7 +70,7 @@ def candidates(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         if cut >= 0 and len(v := w[cut + 1 :].strip(EDGE)) >= 6:
             a += w.index(v, cut + 1)
             w = v
-        elif len(w) < 8 or not any(48 <= c < 58 for c in w) and len(w) < 20:
+        elif len(w) < 8 or not any(48 <= c < 58 for c in w) and len(w) < 16:
             continue
         out.append((d, a, a + len(w)))
     found = np.array(out, np.int64).reshape(-1, 3)
