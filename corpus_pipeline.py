@@ -1,4 +1,7 @@
-"""From raw documents to token ids, in stages that each read what the one before wrote."""
+"""From raw documents to token ids, in stages that each read what the one before wrote.
+
+Null texts and texts without words are rejected by the first stage; an empty table passes through as one.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +9,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import mixing, sentencepieces
+from foliospark.llm import jaccard, mixing, quality, secrets, sentencepieces
 from foliospark.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks; every document at least once."""
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, does not reject."""
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group that pairs of near copies connect."""
+    return jaccard.distinct_texts(docs)
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    return secrets.redacted(docs, secrets.fit(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks, once at least."""
     return mixing.mix_sources(docs)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text that they decode to."""
     return sentencepieces.encode_decode(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix), ("sentencepiece", encode)]
+STAGES: list[tuple[str, Stage]] = [("quality", good), ("near copies", distinct), ("secrets", masked), ("mixing", mixed), ("sentencepiece", encoded)]
 
 #: Trained models and Viterbi decoding have no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -31,5 +49,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -184,3 +184,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, see
     rows = docs.join(F.broadcast(chosen), docs[key] == chosen["k"]).select("k", docs[text].cast("string").alias("text"), "label")
     found = rows.toArrow().sort_by([("k", "ascending"), ("text", "ascending")])
     return strings(found["text"]), found["label"].to_numpy().astype(np.int64)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A name that no column of df begins with."""
+    low = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in low):
+        name += "_"
+    return name

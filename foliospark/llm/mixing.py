@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, written
+from .common import free, mix, written
 
 ALPHA, LEAF, FAN, SEED = 0.7, 50_000, 64, 17
 
@@ -137,11 +137,3 @@ def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as ``copies`` says."""
     name = free(docs, "_copies")
     return copies(docs, name=name, **how).where(F.col(name) > 0).withColumn(name, F.explode(F.expr(f"sequence(1L, {name})"))).drop(name)
-
-
-def free(df: DataFrame, name: str) -> str:
-    """A name that no column of df begins with."""
-    low = [c.lower() for c in df.columns]
-    while any(c.startswith(name) for c in low):
-        name += "_"
-    return name

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, mixing, quality, secrets, sentencepieces, toxicity
+from . import dac, jaccard, mixing, quality, secrets, sentencepieces, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op5_sentencepiece, op6_toxicity, op7_secrets, op8_token_codes, op9_mixing)}
+    return {f.__name__: f for f in (op1_quality, op5_sentencepiece, op6_toxicity, op7_secrets, op8_token_codes, op9_mixing, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
