@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dac, jaccard, mixing, quality, secrets, sentencepieces, toxicity
+from . import dac, jaccard, mixing, neighbours, quality, secrets, sentencepieces, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,20 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).where("keep")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return topk.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC files; one record of each content, read back by way of the index."""
+    return warc.fetch(table(spark, sf_dir, "pages")).select("page_id", "url", F.sha1(F.col("html").cast("binary")).alias("sha1"), "html")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -46,8 +61,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op5_sentencepiece, op6_toxicity, op7_secrets, op8_token_codes, op9_mixing, op10_jaccard)}
+    return {f.__name__: f for f in (op1_quality, op2_neighbours, op3_topk, op4_warc, op5_sentencepiece, op6_toxicity, op7_secrets, op8_token_codes, op9_mixing, op10_jaccard)}
+
+
+JACCARD_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+j AS (SELECT a, b, o / (x.n + y.n - o) AS jaccard FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)
+SELECT a AS doc_id_a, b AS doc_id_b, jaccard FROM j WHERE jaccard >= 0.6
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": topk.SQL, "op4_warc": warc.SQL, "op10_jaccard": JACCARD_SQL}
