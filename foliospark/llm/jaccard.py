@@ -10,16 +10,13 @@ pairs of points that survive are verified by their n-grams.
 
 A tree over unrelated texts can't tell them apart by boxes alone: in many dimensions boxes of random
 points cover each other, and the work grows with the square of the corpus. So sets are first brought
-together by the groups themselves: a pair of similarity t or more differs in few n-grams, and if there are
-enough groups, some hold exactly the same n-grams in both. Each set sends a row for each group that holds
-any: a hash of the group's n-grams. Sets that agree in a group belong together, and the connected ones form a
-neighbourhood. Inside a neighbourhood sets are sorted by size into tiles, tiles of sizes that can't
-pair are left out, and each pair of tiles is joined through a tree. No bound on members or partners.
-
-The number of groups follows a set's size band so that a pair of similarity exactly t is expected to agree
-in ``AGREE`` groups; it is missed with a chance of about exp(-AGREE), 0.25 %, and more alike ones less.
-Bands grow by 1 / t, so partners lie in the same or the next band; a set also sends the groups of
-the next band if it is large enough to have partners there.
+together: each of many groups is represented by its least n-gram (an empty group by the next one's), and a
+set sends ``bands(t)`` keys of ``ROWS`` representatives each. Two sets of similarity s share a key with
+chance s^ROWS, and there are enough keys that a pair of similarity exactly t is expected to share
+``AGREE``; it is missed with a chance of about exp(-AGREE), 0.25 %, and more alike ones less. The members of a
+key are linked to its least, links that the count-vector bound rules out go, and what stays connected is a
+neighbourhood. Inside it sets are sorted by size into tiles, tiles of sizes that can't pair are left out,
+and each pair of tiles is joined through a tree. No bound on members or partners.
 
 Defined results: null and empty texts and rows without an id are in no pair; repeated rows of one id
 count once; ids of a pair are in order, never equal. Where rows of one id have different texts each
@@ -29,7 +26,6 @@ is compared. In ``distinct_texts`` rows without words stay.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import chunks, free, mix, ragged, span_hash, words, written
 
-NGRAM, THRESHOLD, AGREE, TILE, LEAF, BITS = 2, 0.6, 6.0, 256, 8, np.uint64(48)
+NGRAM, THRESHOLD, AGREE, ROWS, TILE, LEAF, BITS, NAMES = 2, 0.6, 6.0, 5, 256, 8, np.uint64(48), 1_000_000
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -71,57 +67,67 @@ def segment_sum(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def names(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A number for each set, even; equal sets have the same."""
-    return (mix(segment_sum(mix(grams), at) + np.diff(at).astype(np.uint64)) << np.uint64(1)).view(np.int64)
-
-
-@lru_cache(1024)
-def groups(band: int, t: float) -> int:
-    differ = (1 - t) / (1 + t) * 2 * t ** -(band + 1)
-    g = 1
-    while g * math.exp(-differ / g) < AGREE:
-        g = max(g + 1, int(g * 1.03))
-    return g
-
-
-def band_of(size: np.ndarray, t: float) -> np.ndarray:
-    return np.floor(np.log(np.maximum(size, 1)) / -math.log(t) + 1e-9).astype(np.int64)
-
-
-def group_rows(grams: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each group's content, and the set's name; the name's lowest bit tells rows sent to the next band."""
-    name, size = names(grams, at), np.diff(at)
-    band = band_of(size, t)
-    keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    h = mix(grams)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
-    for up in (0, 1):
-        for b in np.unique(band[size > 0]).tolist():
-            own = np.flatnonzero((band == b) & (size > 0) & ((size / t >= t ** -(b + 1) * (1 - 1e-9)) if up else True))
-            if not len(own):
-                continue
-            idx = ragged(at[own], size[own])
-            doc = np.repeat(own, size[own])
-            place = (grams[idx] * np.uint64(groups(b + up, t))) >> BITS
-            new = np.ones(len(idx), bool)
-            new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
-            start = np.flatnonzero(new)
-            end = np.append(start[1:], len(idx))
-            content = total[idx[end - 1] + 1] - total[idx[start]]
-            keys.append(mix(content ^ mix(place[start] + np.uint64((b + up) << 32))).view(np.int64))
-            owners.append(name[doc[start]] | up)
-    return np.concatenate(keys), np.concatenate(owners)
-
-
-def joined_by_group(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
-    """Edges a, b between sets that agree in a group; a set that several rows have gets an edge to itself."""
+    """A number for each set; equal sets have the same."""
+    return mix(segment_sum(mix(grams), at) + np.diff(at).astype(np.uint64)).view(np.int64)
+
+
+def bands(t: float) -> int:
+    return math.ceil(AGREE / t**ROWS)
+
+
+def keys(grams: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
+    """The keys of each set that has any n-grams: a row for each set.
+
+    Each of a key's representatives comes from a grouping of its own, and from another place in it, so that
+    the keys of a small set, whose groups are mostly empty, don't repeat each other."""
+    count, n = bands(t), len(at) - 1
+    doc = np.repeat(np.arange(n) * count, np.diff(at))
+    out, none = np.zeros((n, count), np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF)
+    for r in range(ROWS):
+        h = mix(grams ^ np.uint64((r + 1) << 56))
+        least = np.full(n * count, none)
+        np.minimum.at(least, doc + (((h >> np.uint64(16)) * np.uint64(count)) >> BITS).astype(np.int64), mix(h))
+        least = least.reshape(n, count)
+        nearest = np.where(least != none, np.arange(count), 2 * count)
+        wrap = nearest.min(1, keepdims=True) + count
+        nearest = np.minimum(np.minimum.accumulate(nearest[:, ::-1], 1)[:, ::-1], wrap)
+        value = np.take_along_axis(least, nearest % count, 1) + (nearest - np.arange(count)).astype(np.uint64)
+        out = mix(out ^ value[:, np.random.default_rng(r).permutation(count)])
+    return mix(out + np.arange(count, dtype=np.uint64)).view(np.int64)
+
+
+def vectors(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Counts of each set's n-grams in groups, half as many as n-grams, a power of 2, a byte each."""
+    size = np.diff(at)
+    width = 2 ** np.ceil(np.log2(np.maximum(size, 16) / 2)).astype(np.int64)
+    end = np.cumsum(width)
+    place = np.repeat(end - width, size) + ((grams * np.repeat(width, size).astype(np.uint64)) >> BITS).astype(np.int64)
+    flat = np.minimum(np.bincount(place, minlength=int(end[-1]) if len(end) else 0), 255).astype(np.uint8)
+    return [flat[e - w : e].tobytes() for e, w in zip(end, width, strict=True)]
+
+
+def may_pair(a: bytes, b: bytes, t: float) -> bool:
+    """Whether the counts' bound allows a similarity of t."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    x = x.reshape(len(y), -1).sum(1)
+    return bool(np.minimum(x, y).sum() * (1 + t) >= t * (x.sum() + y.sum()) - 1e-9)
+
+
+def joined_by_key(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
+    """Links a, b between sets; a set that several rows have gets a link to itself."""
     rows = docs.select(docs[text].cast("string").alias("text"))
 
     def send(batches):
         for batch in batches:
             for _, _, buf, offsets in chunks(batch.column(0), lower=True):
-                key, name = group_rows(*gram_sets(buf, offsets, n), t)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name)], ["key", "name"])
+                grams, at = gram_sets(buf, offsets, n)
+                own = np.flatnonzero(np.diff(at))
+                at = np.append(at[own], at[-1])
+                name, key = names(grams, at), keys(grams, at, t)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(name, key.shape[1])), pa.nulls(key.size, pa.binary())], ["key", "name", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(name), pa.int64()), pa.array(name), pa.array(vectors(grams, at), pa.binary())], ["key", "name", "vector"])
 
     def meet(batches):
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -129,25 +135,46 @@ def joined_by_group(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
             return
         key, name = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        twin = np.zeros(len(key), bool)
-        twin[1:] = key[1:] == key[:-1]
-        twin[:-1] |= twin[1:]
-        key, name = key[twin], name[order[twin]]
-        order = np.lexsort((name & ~1, name & 1, key))  # own-band members first
+        order = np.lexsort((name, key))
         key, name = key[order], name[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        run = np.cumsum(new) - 1
-        head = name[np.flatnonzero(new)][run]
-        ok = ((head & 1) == 0) & ~new
-        a, b = head[ok], name[ok] & ~1
+        head = name[np.flatnonzero(new)][np.cumsum(new) - 1]
+        a, b = head[~new], name[~new]
         if len(a):
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["a", "b"])
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
-    return rows.mapInArrow(send, "key long, name long").repartition("key").mapInArrow(meet, "a long, b long")
+    def prune(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([may_pair(x, y, t) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())).select([0, 1])
+
+    sent = written(rows.mapInArrow(send, "key long, name long, vector binary"), "keys")
+    links = written(sent.where("key IS NOT NULL").select("key", "name").repartition("key").mapInArrow(meet, "a long, b long").distinct(), "links")
+    of = sent.where("key IS NULL").select("name", "vector").join(links.select(F.col("a").alias("name")).union(links.select("b")), "name", "left_semi").groupBy("name").agg(F.first("vector").alias("vector"))
+    ends = links.where("a <> b").join(of.toDF("a", "va"), "a").join(of.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
+    return ends.mapInArrow(prune, "a long, b long").union(links.where("a = b"))
+
+
+def forest_of(pair: np.ndarray) -> np.ndarray:
+    """Of edges between nodes those that a spanning forest needs, and all from a node to itself."""
+    nodes, index = np.unique(pair, return_inverse=True)
+    parent, keep = list(range(len(nodes))), []
+    for k, (u, v) in enumerate(index.reshape(-1, 2).tolist()):
+        if u == v:
+            keep.append(k)
+            continue
+        while parent[u] != u:
+            parent[u] = u = parent[parent[u]]
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            keep.append(k)
+    return pair[keep]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,8 +198,8 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def with_name(docs: DataFrame, n: int, text: str, name: str) -> DataFrame:
-    """docs with each text's set name (null without words) and size; all columns are kept."""
+def with_name(docs: DataFrame, n: int, text: str, name: str, only: np.ndarray | None = None) -> DataFrame:
+    """docs with each text's set name (null without words) and size; all columns are kept. only: sorted names, other rows are left out."""
     place = docs.columns.index(text)
     out = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)] + [StructField(name, LongType()), StructField(f"{name}size", LongType())])
 
@@ -183,8 +210,9 @@ def with_name(docs: DataFrame, n: int, text: str, name: str) -> DataFrame:
                 grams, at = gram_sets(buf, offsets, n)
                 made.append(names(grams, at))
                 size.append(np.diff(at))
-            size_ = np.concatenate(size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(made), mask=size_ == 0), pa.array(size_)], [f"c{k}" for k in range(batch.num_columns)] + [name, f"{name}size"])
+            size_, made_ = np.concatenate(size), np.concatenate(made)
+            found = pa.RecordBatch.from_arrays([*batch.columns, pa.array(made_, mask=size_ == 0), pa.array(size_)], [f"c{k}" for k in range(batch.num_columns)] + [name, f"{name}size"])
+            yield found if only is None else found.filter(pa.array((size_ > 0) & (only[np.minimum(np.searchsorted(only, made_), len(only) - 1)] == made_) if len(only) else size_ < 0))
 
     return docs.mapInArrow(run, out).toDF(*docs.columns, name, f"{name}size")
 
@@ -263,16 +291,21 @@ def similar(grams: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarr
     return i[ok], j[ok], out[ok]
 
 
-def neighbours(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFrame:
-    """key, node, size, text and root of the rows that have any neighbour; rows of one key and one set once."""
-    rows = with_name(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")), n, "text", "node").where("node IS NOT NULL AND key IS NOT NULL").withColumnRenamed("nodesize", "size")
-    roots = written(components(written(joined_by_group(docs, n, t, text), "agreeing")), "roots")
-    return rows.join(roots, "node").dropDuplicates(["key", "node"])
+def neighbours(docs: DataFrame, n: int, t: float, key: str, text: str, tile: int) -> DataFrame:
+    """key, node, size, text, root and tile of the rows that have any neighbour; rows of one key and one set once.
+
+    Where the neighbours' names are no more than ``NAMES`` they go to the tasks, so that other texts aren't moved; else a join sorts them out."""
+    roots = written(components(written(joined_by_key(docs, n, t, text), "agreeing")), "roots")
+    only = np.sort(roots.select("node").toArrow()["node"].to_numpy()) if roots.count() <= NAMES else None
+    rows = with_name(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")), n, "text", "node", only).where("node IS NOT NULL AND key IS NOT NULL").withColumnRenamed("nodesize", "size")
+    w = Window.partitionBy("root").orderBy("size", "node", "key")
+    rows = rows.join(roots, "node").withColumn("again", (F.lag("node").over(w) == F.col("node")) & (F.lag("key").over(w) == F.col("key"))).where("again IS NULL OR NOT again").drop("again")
+    return rows.withColumn("tile", F.expr(f"cast((row_number() OVER (PARTITION BY root ORDER BY size, node, key) - 1) div {tile} AS int)"))
 
 
 def verified(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: str = "doc_id", text: str = "text", forest: bool = False, tile: int = TILE) -> DataFrame:
-    """Pairs a, b of rows with node_a, node_b and jaccard; with forest, only as many as connect what is connected."""
-    near = written(neighbours(docs, n, t, key, text).withColumn("tile", F.expr(f"cast((row_number() OVER (PARTITION BY root ORDER BY size, node, key) - 1) div {tile} AS int)")), "neighbours")
+    """Pairs a, b of rows with node_a, node_b and jaccard; with forest, only as many as connect what is connected, without jaccard."""
+    near = written(neighbours(docs, n, t, key, text, tile), "neighbours")
     of = near.groupBy("root", "tile").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("rows"))
     x, y = of.alias("x"), of.alias("y")
     meets = x.join(y, F.expr(f"x.root = y.root AND x.tile <= y.tile AND x.most >= {t} * y.least AND (x.tile < y.tile OR x.rows > 1)")).select(F.col("x.root").alias("root"), F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
@@ -296,19 +329,8 @@ def verified(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: str = "
         everyone = np.arange(len(sides))
         i, j, s = similar(grams, at, everyone if same else everyone[~sides], everyone if same else everyone[sides], t)
         if forest and len(i):
-            parent = list(range(len(sides)))
-
-            def find(v):
-                while parent[v] != v:
-                    parent[v] = v = parent[parent[v]]
-                return v
-
-            keep = []
-            for k, (u, v) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                if (u := find(u)) != (v := find(v)):
-                    parent[u] = v
-                    keep.append(k)
-            i, j, s = i[keep], j[keep], s[keep]
+            ends = forest_of(np.stack([i, j], 1))
+            i, j, s = ends[:, 0], ends[:, 1], np.full(len(ends), np.nan)
         take = lambda c, k: rows[c].take(pa.array(k))
         return pa.table({"a": take("key", i), "b": take("key", j), "node_a": take("node", i), "node_b": take("node", j), "jaccard": pa.array(s)})
 
