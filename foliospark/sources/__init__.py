@@ -1,0 +1 @@
+"""Readers that turn stored documents into elements."""
