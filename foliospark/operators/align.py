@@ -76,15 +76,13 @@ class Document:
 
 @dataclass
 class Plan:
-    """A template with its patterns numbered; node numbers count the tree in writing order."""
+    """A template with its patterns numbered."""
 
     template: Template
     configs: list[tuple[str, float]] = field(default_factory=list)
-    node: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
         for k, e in enumerate(self.template.walk()):
-            self.node[id(e)] = k
             for c in (e.match, e.end_match):
                 if c is not None and (key := (c.pattern, c.threshold)) not in self.configs:
                     self.configs.append(key)
@@ -121,7 +119,7 @@ class Plan:
         for k, e in enumerate(elements):
             if e.type == "Section" and id(e) in found:
                 m, place = found[id(e)], len(out)
-                out.append((self.node[id(e)], depth, e.type, m.start, n if m.end is None else m.end, m.end, None if parent is None else parent[0], None if parent is None else parent[0]))
+                out.append((e.number, depth, e.type, m.start, n if m.end is None else m.end, m.end, None if parent is None else parent[0], None if parent is None else parent[0]))
                 self._level(e.children, doc, m, depth + 1, (place, parent is not None), out)
             elif e.type == "TextChunk":
                 if not parts:
@@ -132,7 +130,7 @@ class Plan:
                     end = parts[-1][1]
                     a, b = (end + 1 if end < hi else end), hi
                 if doc.text[a:b].any():
-                    out.append((self.node[id(e)], depth, e.type, a, b, None, None if parent is None else parent[0], parent[0] if parent is not None and parent[1] else None))
+                    out.append((e.number, depth, e.type, a, b, None, None if parent is None else parent[0], parent[0] if parent is not None and parent[1] else None))
 
     def _section(self, e: Element, doc: Document, context: Section | None, begin: int) -> Section | None:
         which = self.number(e.match)
@@ -221,7 +219,7 @@ def align(elements: DataFrame, template: Template | str, references: DataFrame |
 
 def metadata(template: Template) -> dict[int, tuple[str | None, str | None]]:
     """section and section_name of each node: a section's own, or those of the sections around it."""
-    out, plan = {}, Plan(template)
+    out: dict[int, tuple[str | None, str | None]] = {}
 
     def go(elements: list[Element], section: str | None, name: str | None) -> None:
         for e in elements:
@@ -229,7 +227,7 @@ def metadata(template: Template) -> dict[int, tuple[str | None, str | None]]:
             if e.type == "Section":
                 given = e.attributes.get("as", e.attributes.get("match"))
                 s, n = as_string(given) if not isinstance(given, list) else str(given[0]) if given else None, e.name
-            out[plan.node[id(e)]] = (s, n)
+            out[e.number] = (s, n)
             go(e.children, s, n)
 
     go(template.elements, None, None)

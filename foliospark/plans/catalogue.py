@@ -288,7 +288,7 @@ def chunk_sql(limit: int, overlap: int, size: str = "strlen(text)", tokens: bool
 n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
 p AS (SELECT t.doc_id, i, n, coalesce(sum(len) OVER (PARTITION BY t.doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t JOIN n USING (doc_id) UNION ALL SELECT t.doc_id, max(n), max(n), sum(len) FROM t JOIN n USING (doc_id) GROUP BY t.doc_id),
 e AS (SELECT p.doc_id, p.i, p.n, {end} AS e FROM p JOIN p q ON p.doc_id = q.doc_id AND q.i >= p.i WHERE p.i < p.n GROUP BY p.doc_id, p.i, p.n, p.s),
-x AS (SELECT e.doc_id, e.i, e.n, e.e, coalesce(max(q.i) FILTER (z.s - q.s >= {overlap} AND q.i > e.i), e.e) AS nxt FROM e JOIN p z ON z.doc_id = e.doc_id AND z.i = e.e JOIN p q ON q.doc_id = e.doc_id AND q.i >= e.i AND q.i <= e.e GROUP BY ALL),
+x AS (SELECT e.doc_id, e.i, e.n, e.e, coalesce(max(q.i) FILTER (z.s - q.s >= {overlap} AND q.i > e.i), e.e) AS nxt FROM e JOIN p z ON z.doc_id = e.doc_id AND z.i = e.e JOIN p q ON q.doc_id = e.doc_id AND q.i >= e.i AND q.i <= e.e GROUP BY e.doc_id, e.i, e.n, e.e),
 c AS (WITH RECURSIVE w AS (SELECT doc_id, i, n, e, nxt, 0 AS chunk FROM x WHERE i = 0 UNION ALL SELECT x.doc_id, x.i, x.n, x.e, x.nxt, chunk + 1 FROM w JOIN x ON x.doc_id = w.doc_id AND x.i = w.nxt WHERE w.e < w.n) SELECT doc_id, chunk, a.doc_idx AS first_idx, b.doc_idx AS last_idx FROM w JOIN t a USING (doc_id, i) JOIN t b ON b.doc_id = w.doc_id AND b.i = w.e - 1)"""
 
 

@@ -69,6 +69,7 @@ class Element:
     match: MatchConfig | None = None
     end_match: MatchConfig | None = None
     position: int = 0
+    number: int = 0  # in the whole tree, in writing order
     siblings: list[Element] = field(default_factory=list, repr=False)
 
     def before(self) -> Element | None:
@@ -279,7 +280,8 @@ def literal_config(v: Value | None) -> MatchConfig | None:
 
 def resolve(template: Template) -> Template:
     """Gives each element the settings of its match and end_match: of a definition's first matching clause, or of a literal."""
-    for e in template.walk():
+    for number, e in enumerate(template.walk()):
+        e.number = number
         for key in ("match", "end_match"):
             v = e.attributes.get(key)
             if isinstance(v, Name):
