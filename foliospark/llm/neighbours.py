@@ -256,11 +256,15 @@ def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "e
         post = post.sort_by([("id", "ascending")])
         x, who, own = matrix(post["v"].combine_chunks(), d), post["id"].to_numpy(), ask["id"].to_numpy()
         ids, dists = [], []
-        take = min(k, len(x))
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))  # rows of one id count once, by the nearest
+        unlike, who = who, who[first]
+        take = min(k, len(who))
         for a in range(0, len(own), 1024):
             dist = squared(matrix(ask["v"].slice(a, 1024).combine_chunks(), d), x)
-            dist[own[a : a + 1024][:, None] == who[None]] = np.inf
-            if take < len(x):
+            dist[own[a : a + 1024][:, None] == unlike[None]] = np.inf
+            if len(first) < len(unlike):
+                dist = np.minimum.reduceat(dist, first, 1)
+            if take < len(who):
                 limit = np.partition(dist, take - 1, 1)[:, take - 1 : take]
                 order = np.argsort(np.where(dist <= limit, dist, np.inf), 1, kind="stable")[:, :take]
             else:

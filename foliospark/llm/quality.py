@@ -12,7 +12,7 @@ good documents are kept.
 
 Defined results: a null text or one without words has score 0 and no passages, and is rejected; without
 labels of both classes every score is the share of good labels (1 if there are none), and as a fit that
-can't tell anything apart must not drop documents, all are kept. Equal texts have equal scores.
+can't tell anything apart must not drop documents, all are kept. Equal texts have equal scores, but for rounding.
 """
 
 from __future__ import annotations
@@ -61,8 +61,9 @@ def passages(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         z = min(a + 4096, at[-1])
         span = b1[a:z] - b0[a:z]
         whole = CLASS[buf[b0[a] : b1[z - 1]]]
-        owner = np.repeat(np.arange(z - a), np.append(b0[a + 1 : z], b1[z - 1]) - b0[a:z])
-        x[a:z, :CLASSES] = np.bincount(owner * CLASSES + whole, minlength=(z - a) * CLASSES).reshape(z - a, CLASSES) / np.maximum(span, 1)[:, None]
+        gap = np.append(b0[a + 1 : z], b1[z - 1]) - b1[a:z]
+        owner = np.repeat(np.stack([np.arange(z - a), np.full(z - a, z - a)], 1).ravel(), np.stack([span, gap], 1).ravel())  # what lies between passages goes to none
+        x[a:z, :CLASSES] = np.bincount(owner * CLASSES + whole, minlength=(z - a + 1) * CLASSES).reshape(-1, CLASSES)[: z - a] / np.maximum(span, 1)[:, None]
     near = np.zeros(len(h), bool)
     for lag in range(1, LAGS + 1):
         same = (h[lag:] == h[:-lag]) & (of_word[lag:] == of_word[:-lag])

@@ -172,7 +172,7 @@ def made(rng: np.random.Generator, fill: list[bytes], count: int) -> tuple[list[
     named = [lambda: draw(hexa, int(rng.integers(12, 41))), lambda: draw(hexa, int(rng.choice([18, 32, 40, 64]))), lambda: draw(b62, int(rng.integers(10, 33))), lambda: draw(b62 + "!@#$%", int(rng.integers(8, 20)))]
     plain = [
         lambda: f"{word()}.{draw(dig, 2)}@{word()}{draw(dig, 1)}.example.com", lambda: f"{word()}{draw(dig, 3)}@{word()}.org", lambda: ".".join(str(int(rng.integers(1, 255))) for _ in range(4)), lambda: f"{draw(dig, 3)}-{draw(dig, 3)}-{draw(dig, 4)}", lambda: f"{draw(dig, 3)}-{draw(dig, 4)}", lambda: f"20{draw(dig, 2)}-{draw('01', 2)}-{draw('012', 2)}T{draw('01', 2)}:{draw('012345', 2)}", lambda: f"https://{word()}.example.com/{word()}/{draw(dig, 4)}?page={draw(dig, 1)}", lambda: f"{draw(hexa, 8)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 12)}", lambda: f"{word()}-{draw(dig, 4)}.{word()}", lambda: f"{word()}_{word()}_{draw(dig, 2)}", lambda: draw(dig, int(rng.integers(8, 17))),
-        lambda: f"v{draw(dig, 1)}.{draw(dig, 2)}.{draw(dig, 1)}-beta", lambda: f"{word()}:{word()}", lambda: f"{word()}={word()}{draw(dig, 2)}", lambda: f"${draw(dig, 3)},{draw(dig, 3)}.{draw(dig, 2)}", lambda: f"978-{draw(dig, 1)}-{draw(dig, 4)}-{draw(dig, 4)}-{draw(dig, 1)}", lambda: f"{word().title()}{word().title()}{word().title()}{word().title()}", lambda: f"{word()}{draw(dig, 1)}{word()}", lambda: "commit " + draw(hexa, 40), lambda: joined().upper() + "!!", lambda: joined().upper(), lambda: joined().upper() + "!!", lambda: joined(), lambda: f"{draw(up, 2)}{draw(dig, 2)} {draw(dig, 4)} {draw(dig, 8)}",
+        lambda: f"v{draw(dig, 1)}.{draw(dig, 2)}.{draw(dig, 1)}-beta", lambda: f"{word()}:{word()}", lambda: f"{word()}={word()}{draw(dig, 2)}", lambda: f"${draw(dig, 3)},{draw(dig, 3)}.{draw(dig, 2)}", lambda: f"978-{draw(dig, 1)}-{draw(dig, 4)}-{draw(dig, 4)}-{draw(dig, 1)}", lambda: f"{word().title()}{word().title()}{word().title()}{word().title()}", lambda: f"{word()}{draw(dig, 1)}{word()}", lambda: "commit " + draw(hexa, 40), lambda: joined().upper() + "!!", lambda: joined().upper(), lambda: joined().upper() + "!!", lambda: joined().upper()[:16], lambda: joined().upper()[:20] + ".", lambda: joined().upper()[:18], lambda: joined(), lambda: f"{draw(up, 2)}{draw(dig, 2)} {draw(dig, 4)} {draw(dig, 8)}",
     ]
     joined = lambda: "".join(fill[i].decode(errors="ignore").strip(".,!?") for i in rng.integers(0, len(fill), int(rng.integers(2, 6))))[: int(rng.integers(16, 30))]
     texts, labels = [], []
@@ -197,7 +197,7 @@ def made(rng: np.random.Generator, fill: list[bytes], count: int) -> tuple[list[
     return texts, labels
 
 
-def gather(column: pa.Array, seed: int, count: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def gather(column: pa.Array, seed: int, count: int = 5000) -> tuple[np.ndarray, np.ndarray]:
     """Pictures and labels of findings, real and made up."""
     rng, codes, labels, fill = np.random.default_rng(seed), [], [], []
     for _, _, buf, offsets in chunks(column):
@@ -226,7 +226,7 @@ def gather(column: pa.Array, seed: int, count: int = 4000) -> tuple[np.ndarray,
     return np.concatenate(codes), np.concatenate(labels)
 
 
-def train(column: pa.Array, seed: int = SEED, epochs: int = 8, batch: int = 64, recall: float = RECALL) -> Network:
+def train(column: pa.Array, seed: int = SEED, epochs: int = 10, batch: int = 64, recall: float = RECALL) -> Network:
     code, y = gather(column, seed)
     rng = np.random.default_rng(seed)
     normal = lambda *s: (rng.normal(0, 1, s) / np.sqrt(s[0])).astype(np.float32)

@@ -7,7 +7,7 @@ presence and the earlier categories' probabilities. While fitting, those are out
 later model learns from probabilities as they are on texts not seen before; when scoring they come
 from the models fitted on all.
 
-A word is a lower-cased run of letters and digits. Marking words are those whose share of toxic documents
+A word is a lower-cased run of letters and digits; its first ``STEM`` bytes count as a word too, if it is longer. Marking words are those whose share of toxic documents
 exceeds that of the others by ``Z`` standard errors, in ``LEAST`` documents at least, the ``FEATURES``
 strongest; of near copies one is counted. ``fit`` uses up to ``PER_CLASS`` labelled documents of each class, the only bound. The
 threshold is the one of highest F1 on out-of-fold predictions, half-way to the nearest clean score.
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from .common import MARKS, chunks, labelled, mix, span_hash, words
 from .quality import sigmoid
 
-CATEGORIES, PER_CLASS, FEATURES, FOLDS, SEVERE, DENSE, Z, LEAST, SEED = ("severe", "dense", "toxic"), 3000, 256, 3, 3, 0.02, 5.0, 5, 11
+CATEGORIES, PER_CLASS, FEATURES, FOLDS, SEVERE, DENSE, Z, LEAST, STEM, SEED = ("severe", "dense", "toxic"), 3000, 256, 3, 3, 0.02, 5.0, 4, 4, 11
 
 
 def counts(column: pa.Array, vocabulary: np.ndarray | None = None):
-    """Text number, word hash and count of each pair, and the number of words of each text. vocabulary: sorted hashes, the only words to count."""
+    """Text number, hash of word or stem and count of each pair, and the number of words of each text. vocabulary: sorted hashes, the only words to count."""
     rows, hashes, times, total = [], [], [], [np.zeros(0, np.int64)]
     if vocabulary is not None:
         bits = np.zeros(1 << 16, bool)
@@ -40,15 +40,15 @@ def counts(column: pa.Array, vocabulary: np.ndarray | None = None):
         starts, ends, first = words(buf, offsets, MARKS)
         n = np.diff(first)
         total.append(n)
-        h, doc = span_hash(buf, starts, ends), None
+        long = np.flatnonzero(ends - starts > STEM)
+        h = np.concatenate([span_hash(buf, starts, ends), mix(span_hash(buf, starts[long], starts[long] + STEM))])
+        word = np.concatenate([np.arange(len(starts)), long])
         if vocabulary is not None:
             pick = np.flatnonzero(bits[(h >> np.uint64(48)).astype(np.int64)])
             place = np.minimum(np.searchsorted(vocabulary, h[pick]), len(vocabulary) - 1)
             ok = vocabulary[place] == h[pick] if len(vocabulary) else np.zeros(0, bool)
-            pick = pick[ok]
-            doc, h = np.searchsorted(first, pick, "right") - 1, h[pick]
-        else:
-            doc = np.repeat(np.arange(len(n)), n)
+            h, word = h[pick[ok]], word[pick[ok]]
+        doc = np.searchsorted(first, word, "right") - 1
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
         new = np.ones(len(h), bool)
