@@ -19,11 +19,11 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
-def ends(elements: DataFrame, limit: int, overlap: int, keys: list[str], size: Column, tokens: bool) -> DataFrame:
+def ends(elements: DataFrame, limit: int, overlap: int, keys: list[str], size: Column, tokens: bool, carry: list[str]) -> DataFrame:
     """For each element, by its rank i among the n of its group: the end (exclusive) of a chunk that starts there, and
     the last element from which the overlap back from i is reached (at_end: back from the end)."""
     order = Window.partitionBy(*keys).orderBy("doc_idx")
-    e = elements.select(*keys, "doc_idx", size.cast("long").alias("len"))
+    e = elements.select(*keys, "doc_idx", *carry, size.cast("long").alias("len"))
     e = e.withColumn("i", F.row_number().over(order) - 1).withColumn("s", F.coalesce(F.sum("len").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     whole = Window.partitionBy(*keys)
     e = e.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("total", F.sum("len").over(whole))
@@ -40,12 +40,13 @@ def ends(elements: DataFrame, limit: int, overlap: int, keys: list[str], size: C
     return e.withColumn("end", end).withColumn("back", back).withColumn("at_end", at_end)
 
 
-def ranges(elements: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, keys: list[str] | None = None, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
-    """chunk, first_idx and last_idx (both inclusive, in document order) of the chunks of each group's texts."""
-    keys = keys or ["doc_id"]
+def followed(elements: DataFrame, limit: int, overlap: int, keys: list[str], tokens: Callable[[Column], Column] | None, carry: list[str]) -> DataFrame:
+    """Each group's texts as the array rows, and its chunks as the array out of first (a) and last + 1 (b) ranks.
+
+    Windows and grouping share their keys, so texts are moved once."""
     size = F.octet_length("text") if tokens is None else tokens(F.col("text"))
-    e = ends(elements.where("kind = 'text'"), limit, overlap, keys, size, tokens is not None)
-    rows = e.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "end", "back", "doc_idx"))).alias("rows"), F.first("n").alias("n"), F.first("at_end").alias("at_end"))
+    e = ends(elements.where("kind = 'text'"), limit, overlap, keys, size, tokens is not None, carry)
+    rows = e.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "end", "back", "doc_idx", *carry))).alias("rows"), F.first("n").alias("n"), F.first("at_end").alias("at_end"))
     start = F.struct(F.lit(0).cast("long").alias("cur"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"))
 
     def step(acc, r):
@@ -54,10 +55,15 @@ def ranges(elements: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, keys
         here = r.i == acc.cur
         return F.struct(F.when(here, after).otherwise(acc.cur).cast("long").alias("cur"), F.when(here, F.array_append(acc.out, F.struct(r.i.cast("long").alias("a"), r.end.cast("long").alias("b")))).otherwise(acc.out).alias("out"))
 
-    done = rows.withColumn("out", F.aggregate("rows", start, step, lambda acc: acc.out))
-    each = done.select(*keys, "rows", F.posexplode("out").alias("chunk", "c"))
-    pick = lambda k: F.element_at(F.col("rows"), k.cast("int")).doc_idx
-    return each.select(*keys, "chunk", pick(F.col("c.a") + 1).alias("first_idx"), pick(F.col("c.b")).alias("last_idx"))
+    return rows.withColumn("out", F.aggregate("rows", start, step, lambda acc: acc.out))
+
+
+def ranges(elements: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, keys: list[str] | None = None, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """chunk, first_idx and last_idx (both inclusive, in document order) of the chunks of each group's texts."""
+    keys = keys or ["doc_id"]
+    idx = lambda k: F.element_at(F.col("rows"), k.cast("int")).doc_idx
+    made = followed(elements, limit, overlap, keys, tokens, []).select(*keys, F.transform("out", lambda c: F.struct(idx(c.a + 1).alias("first_idx"), idx(c.b).alias("last_idx"))).alias("out"))
+    return made.select(*keys, F.posexplode("out").alias("chunk", "c")).select(*keys, "chunk", "c.first_idx", "c.last_idx")
 
 
 def members(elements: DataFrame, ranged: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -67,11 +73,17 @@ def members(elements: DataFrame, ranged: DataFrame, keys: list[str] | None = Non
 
 
 def chunks(elements: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, keys: list[str] | None = None, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Each chunk's text (elements joined by a space), pages, number of elements and bytes."""
-    from foliospark.operators.stats import chunk_pages
+    """Each chunk's text (elements joined by a space), pages, number of elements and bytes.
 
+    A chunk's main page is that with most bytes; of equal ones the page that comes last."""
     keys = keys or ["doc_id"]
-    m = members(elements, ranges(elements, limit, overlap, keys, tokens), keys)
-    by = [*keys, "chunk"]
-    text = m.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_idx", "text"))), lambda r: r.text), " ").alias("text"), F.count(F.lit(1)).cast("int").alias("chunk_element_count"), F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"))
-    return text.join(chunk_pages(m, by), by).withColumn("chunk_char_count", F.octet_length("text"))
+
+    def build(c):
+        own = F.slice(F.col("rows"), (c.a + 1).cast("int"), (c.b - c.a).cast("int"))
+        text, pages = F.array_join(F.transform(own, lambda r: r.text), " "), F.array_distinct(F.transform(own, lambda r: r.page_number))
+        weight = lambda p: F.aggregate(F.filter(own, lambda r: r.page_number == p), F.lit(0).cast("long"), lambda acc, r: acc + F.octet_length(r.text))
+        main = F.array_max(F.transform(pages, lambda p, k: F.struct(weight(p).alias("w"), k.alias("k"), p.alias("p")))).p
+        return F.struct(text.alias("text"), main.alias("primary_page"), F.array_sort(pages).alias("page_numbers"), F.size(own).alias("chunk_element_count"), F.element_at(own, 1).doc_idx.alias("first_idx"), F.element_at(own, -1).doc_idx.alias("last_idx"), F.octet_length(text).alias("chunk_char_count"))
+
+    made = followed(elements, limit, overlap, keys, tokens, ["text", "page_number"]).select(*keys, F.transform("out", build).alias("out"))
+    return made.select(*keys, F.posexplode("out").alias("chunk", "c")).select(*keys, "chunk", "c.*")

@@ -26,10 +26,9 @@ def outputs(elements: DataFrame, template: Template | str, matches: DataFrame |
     content = elements.where("kind = 'text'").join(matches.where(F.col("type").isin("Section", "TextChunk", "Paragraph", "Table")), "doc_id").where("doc_idx >= start_idx AND doc_idx < stop_idx")
     made = None
     for (limit, overlap), own in settings.items():
-        part = chunk.chunks(content.where(F.col("node").isin(own)).select("doc_id", "seq", "doc_idx", "kind", "text", "page_number"), limit, overlap, ["doc_id", "seq"], tokens)
+        part = chunk.chunks(content.where(F.col("node").isin(own)), limit, overlap, ["doc_id", "seq", "node", "output_parent"], tokens)
         made = part if made is None else made.unionByName(part)
-    rows = made.join(matches.select("doc_id", "seq", "node", "output_parent"), ["doc_id", "seq"])
-    rows = rows.withColumn("out_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "chunk")) - 1)
+    rows = made.withColumn("out_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "chunk")) - 1)
     by_seq = Window.partitionBy("doc_id").orderBy("seq", "chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = F.map_from_entries(F.array_distinct(F.filter(F.collect_list(F.when(F.col("chunk") == 0, F.struct("seq", "out_idx"))).over(by_seq), lambda x: x.isNotNull())))
     rows = rows.withColumn("parent_index", F.element_at(starts, F.col("output_parent")))
