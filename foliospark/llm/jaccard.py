@@ -14,8 +14,8 @@ together: each of many groups is represented by its least n-gram (an empty group
 set sends ``bands(t)`` keys of ``ROWS`` representatives each. Two sets of similarity s share a key with
 chance s^ROWS, and there are enough keys that a pair of similarity exactly t is expected to share
 ``AGREE``; it is missed with a chance of about exp(-AGREE), 0.25 %, and more alike ones less. The members of a
-key are linked to its least, links that the count-vector bound rules out go, and what stays connected is a
-neighbourhood. Inside it sets are sorted by size into tiles, tiles of sizes that can't pair are left out,
+key are linked to its least, links whose count vectors rule out a similarity of t^2 go (two partners may meet
+in a third text that is less like either), and what stays connected is a neighbourhood. Inside it sets are sorted by size into tiles, tiles of sizes that can't pair are left out,
 and each pair of tiles is joined through a tree. No bound on members or partners.
 
 Defined results: null and empty texts and rows without an id are in no pair; repeated rows of one id
@@ -97,9 +97,9 @@ def keys(grams: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
 
 
 def vectors(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Counts of each set's n-grams in groups, half as many as n-grams, a power of 2, a byte each."""
+    """Counts of each set's n-grams in groups, as many as n-grams, a power of 2, a byte each."""
     size = np.diff(at)
-    width = 2 ** np.ceil(np.log2(np.maximum(size, 16) / 2)).astype(np.int64)
+    width = 2 ** np.ceil(np.log2(np.maximum(size, 8))).astype(np.int64)
     end = np.cumsum(width)
     place = np.repeat(end - width, size) + ((grams * np.repeat(width, size).astype(np.uint64)) >> BITS).astype(np.int64)
     flat = np.minimum(np.bincount(place, minlength=int(end[-1]) if len(end) else 0), 255).astype(np.uint8)
@@ -150,7 +150,7 @@ def joined_by_key(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
 
     def prune(batches):
         for batch in batches:
-            yield batch.filter(pa.array([may_pair(x, y, t) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())).select([0, 1])
+            yield batch.filter(pa.array([may_pair(x, y, t * t) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())).select([0, 1])
 
     sent = written(rows.mapInArrow(send, "key long, name long, vector binary"), "keys")
     links = written(sent.where("key IS NOT NULL").select("key", "name").repartition("key").mapInArrow(meet, "a long, b long").distinct(), "links")
