@@ -124,17 +124,14 @@ class Network:
         g = ((sigmoid(f["z"]) - y) / len(y)).astype(np.float32)
         dh = g[:, None] * p["o"] * (f["h"] > 0)
         dm = (dh @ p["H"].T * (f["m"] > 0)).reshape(len(y), 3, FILTERS)
-        dK, dcols = np.zeros_like(p["K"]), np.zeros_like(f["cols"])
-        rows = np.arange(len(y))[:, None]
+        dK, dE = np.zeros_like(p["K"]), np.zeros((3 * CHARS + 1, EMBED), p["E"].dtype)  # the last row takes what falls off the ends
+        rows, around = np.arange(len(y))[:, None], np.pad(code, ((0, 0), (WIDE // 2, WIDE // 2)), constant_values=3 * CHARS)
         for zone in range(3):
-            at = f["best"][:, zone]
-            picked = f["cols"][rows, at]
-            dK += np.einsum("nfc,nf->cf", picked, dm[:, zone])
-            np.add.at(dcols, (np.repeat(rows, FILTERS, 1), at), dm[:, zone][:, :, None] * p["K"].T[None])
-        dE = np.zeros_like(p["E"])
-        for k in range(WIDE):
-            a, b = max(0, WIDE // 2 - k), min(LENGTH, LENGTH + WIDE // 2 - k)
-            np.add.at(dE, code[:, a + k - WIDE // 2 : b + k - WIDE // 2], dcols[:, a:b, k * EMBED : (k + 1) * EMBED])
+            at, d = f["best"][:, zone], dm[:, zone]
+            dK += np.einsum("nfc,nf->cf", f["cols"][rows, at], d)
+            for k in range(WIDE):
+                np.add.at(dE, around[rows, at + k].ravel(), (d[:, :, None] * p["K"][k * EMBED : (k + 1) * EMBED].T).reshape(-1, EMBED))
+        dE = dE[:-1]
         return {"E": dE, "K": dK, "k": dm.sum((0, 1)), "H": f["m"].T @ dh, "h": dh.sum(0), "o": f["h"].T @ g, "q": g.sum(keepdims=True)}
 
     def logits(self, code: np.ndarray) -> np.ndarray:
