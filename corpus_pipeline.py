@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import jaccard, mixing, quality, secrets, sentencepieces
-from foliospark.llm.common import table, written
+from foliospark.llm.common import small_batches, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,21 +22,25 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group that pairs of near copies connect."""
+    small_batches(spark)
     return jaccard.distinct_texts(docs)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked."""
+    small_batches(spark)
     return secrets.redacted(docs, secrets.fit(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight asks, once at least."""
+    small_batches(spark)
     return mixing.mix_sources(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text that they decode to."""
+    small_batches(spark)
     return sentencepieces.encode_decode(docs)
 
 

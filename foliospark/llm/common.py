@@ -10,6 +10,7 @@ A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -22,14 +23,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = np.uint64(0x9E3779B97F4A7C15)
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns freed arrays to the system, as a worker lives through many tasks beside others."""
+    _trim()(0)
+    pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 1,000 texts at most reach Python, so a worker's memory stays small."""
+    if int(spark.conf.get(BATCH, "10000")) > 1000:
+        spark.conf.set(BATCH, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,6 +75,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, from a table in the shared folder: lineage ends there, and lost executors lose nothing."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    small_batches(spark)
     was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # nothing reads this plan's shuffles again
     try:
@@ -89,6 +113,8 @@ def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
         b = max(a + 1, int(np.searchsorted(o, o[a] + size, "right")) - 1)
         yield a, b, buf[o[a] : o[b]], o[a : b + 1] - o[a]
         a = b
+    if len(buf) > CHUNK:
+        give_back()
 
 
 #: ASCII but letters and digits; with it, a word is a run of letters and digits of any script.
@@ -115,7 +141,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span, by prefix sums of a polynomial."""
-    n = 1 << max(21, int(len(buf)).bit_length())
+    n = 1 << max(20, int(len(buf)).bit_length())
     p, q = powers(n)
     s = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=s[1:])

@@ -30,7 +30,7 @@ from .common import chunks, parts, ragged, span_hash, strings
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT = 1_500_000
+KEPT = 1_000_000
 KNOWN: dict[str, tuple] = {}  # of a worker process: hashes of stretches, sorted, and their ids
 CHAR_LEN = np.ones(256, np.int64)
 CHAR_LEN[0xC0:0xE0], CHAR_LEN[0xE0:0xF0], CHAR_LEN[0xF0:] = 2, 3, 4
@@ -349,7 +349,7 @@ class Pieces:
             known = pc.replace_substring(known, "▁", " ")
         marked = pc.if_else(pc.equal(pc.binary_length(known), 0), "", pc.binary_join_element_wise(pa.scalar("", pa.large_string()), known, pa.scalar(" ", pa.large_string())))
         ids, counts = [], []
-        for _, _, buf, offsets in chunks(marked, size=1 << 22):
+        for _, _, buf, offsets in chunks(marked, size=1 << 21):
             x, o = self.encode_bytes(buf, offsets)
             ids.append(x)
             counts.append(np.diff(o))
