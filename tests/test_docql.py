@@ -4,7 +4,7 @@ from foliospark.plans.docql import Call, Comparison, MatchConfig, Name, Template
 
 
 def test_elements_attributes_and_children():
-    t = parse_template('TextChunk(chunkSize=500, chunkOverlap=150,) Section(match="A \\" b", as="x", n=-2, f=0.85, ok=true) { Table Foo { Image } }')
+    t = parse_template('TextChunk(chunkOverlap=150, chunkSize=500,) Section(match="A \\" b", as="x", n=-2, f=0.85, ok=true) { Table Foo { Image } }')
     chunk, section = t.elements
     assert (chunk.type, chunk.attributes) == ("TextChunk", {"chunkSize": 500, "chunkOverlap": 150})
     assert section.attributes["match"] == 'A \\" b' and section.attributes["f"] == 850 and section.attributes["n"] == -2 and section.attributes["ok"] is True
