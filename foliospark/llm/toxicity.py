@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import MARKS, chunks, labelled, mix, span_hash, words
 from .quality import sigmoid
 
-CATEGORIES, PER_CLASS, FEATURES, FOLDS, SEVERE, DENSE, Z, LEAST, STEM, SEED = ("severe", "dense", "toxic"), 3000, 256, 3, 3, 0.02, 5.0, 4, 4, 11
+CATEGORIES, PER_CLASS, FEATURES, FOLDS, SEVERE, DENSE, Z, LEAST, STEM, SEED = ("severe", "dense", "toxic"), 3000, 256, 3, 3, 0.02, 5.0, 3, 4, 11
 
 
 def counts(column: pa.Array, vocabulary: np.ndarray | None = None):
