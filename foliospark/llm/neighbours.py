@@ -8,7 +8,8 @@ which a worker loads into memory. More than ``MOST`` centroids are never made: l
 loses no neighbours.
 
 A vector goes to the list of the nearest centroid and, at a boundary, to those within ``CLOSE`` times
-that distance, ``REPLICAS`` at most, leaving out a centroid that lies nearer to one already chosen than to the vector.
+that distance, ``REPLICAS`` at most, leaving out a centroid that lies nearer to one already chosen than ``APART`` times
+its distance to the vector (all of it would leave no replicas where vectors point in all directions).
 A query walks the graph from the nearest cells and expands all centroids within ``RATIO`` times the
 least distance found; the lists that remain are searched, however many they are. Distances are Euclidean.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, local_path, written
 
-K, LIST, LINKS, CLOSE, REPLICAS, RATIO, MOST, SEED = 10, 512, 24, 1.12, 8, 1.2, 2_000_000, 3
+K, LIST, LINKS, CLOSE, REPLICAS, APART, RATIO, MOST, SEED = 10, 512, 24, 1.1, 8, 0.35, 1.07, 2_000_000, 3
 
 
 def bisect(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -164,7 +165,7 @@ class Graph:
                 other = chosen[own, j]
                 has = other >= 0
                 gap = np.sqrt(((self.c[n[at[has]]] - self.c[other[has]]) ** 2).sum(1))
-                ok[has] &= gap >= d[at[has]]
+                ok[has] &= gap >= APART * d[at[has]]
             at, own = at[ok], own[ok]
             keep[at] = True
             chosen[own, count[own]] = n[at]
