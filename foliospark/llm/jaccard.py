@@ -99,9 +99,10 @@ def keys(grams: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
 def vectors(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
     """Counts of each set's n-grams in groups, as many as n-grams, a power of 2, a byte each."""
     size = np.diff(at)
-    width = 2 ** np.ceil(np.log2(np.maximum(size, 8))).astype(np.int64)
+    power = np.ceil(np.log2(np.maximum(size, 8))).astype(np.int64)
+    width = 2**power
     end = np.cumsum(width)
-    place = np.repeat(end - width, size) + ((grams * np.repeat(width, size).astype(np.uint64)) >> BITS).astype(np.int64)
+    place = np.repeat(end - width, size) + (grams >> np.repeat(int(BITS) - power, size).astype(np.uint64)).astype(np.int64)
     flat = np.minimum(np.bincount(place, minlength=int(end[-1]) if len(end) else 0), 255).astype(np.uint8)
     return [flat[e - w : e].tobytes() for e, w in zip(end, width, strict=True)]
 

@@ -74,6 +74,14 @@ def test_components_of_chains(spark):
     assert jaccard.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_bound_of_long_texts_over_a_power_of_two():
+    grams = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 140_000).astype(np.uint64))
+    for few, many in ((64_000, 67_000), (130_000, 133_000)):
+        whole = np.random.default_rng(1).permutation(grams)[:many]
+        a, b = jaccard.vectors(np.concatenate([np.sort(whole[:few]), np.sort(whole)]), np.array([0, few, few + many]))
+        assert len(b) == 2 * len(a) and jaccard.may_pair(a, b, few / many)
+
+
 @pytest.mark.parametrize("given", [odd, clashing])
 def test_jaccard_odd_rows(spark, given):
     docs = given(spark)
