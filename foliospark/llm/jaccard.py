@@ -14,8 +14,10 @@ together: each of many groups is represented by its least n-gram (an empty group
 set sends ``bands(t)`` keys of ``ROWS`` representatives each. Two sets of similarity s share a key with
 chance s^ROWS, and there are enough keys that a pair of similarity exactly t is expected to share
 ``AGREE``; it is missed with a chance of about exp(-AGREE), 0.25 %, and more alike ones less. The members of a
-key are linked to its least, links whose count vectors rule out a similarity of t^2 go (two partners may meet
-in a third text that is less like either), and what stays connected is a neighbourhood. Inside it sets are sorted by size into tiles, tiles of sizes that can't pair are left out,
+key are linked to its least, and links whose count vectors rule out a similarity of t^2 go. That says nothing of the
+members left over: each is compared with all members of the key that it is not yet connected with, and linked
+unless the counts rule out t, so no pair that shares a key is lost to an unlike third text. What is connected is
+a neighbourhood. Inside it sets are sorted by size into tiles, tiles of sizes that can't pair are left out,
 and each pair of tiles is joined through a tree. No bound on members or partners.
 
 Defined results: null and empty texts and rows without an id are in no pair; repeated rows of one id
@@ -35,7 +37,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import chunks, free, mix, ragged, span_hash, words, written
 
-NGRAM, THRESHOLD, AGREE, ROWS, TILE, LEAF, BITS, NAMES = 2, 0.6, 6.0, 5, 256, 8, np.uint64(48), 1_000_000
+NGRAM, THRESHOLD, AGREE, ROWS, TILE, LEAF, BITS, NAMES, PART = 2, 0.6, 6.0, 5, 256, 8, np.uint64(48), 1_000_000, 1 << 20
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +118,43 @@ def may_pair(a: bytes, b: bytes, t: float) -> bool:
     return bool(np.minimum(x, y).sum() * (1 + t) >= t * (x.sum() + y.sum()) - 1e-9)
 
 
+def members_links(vectors_: list[bytes], left: np.ndarray, sides: np.ndarray | None, t: float) -> list[tuple[int, int]]:
+    """Links that connect all members whose counts' bound allows t, of pairs with one left over at least; the others are connected.
+
+    sides: only pairs of unlike sides are compared; None: all."""
+    width = np.array([len(v) for v in vectors_])
+    own = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    points = {w: np.frombuffer(b"".join(vectors_[k] for k in rows), np.uint8).reshape(len(rows), w) for w, rows in own.items()}
+    total = np.array([int(np.frombuffer(v, np.uint8).sum(dtype=np.int64)) for v in vectors_])
+    folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def fold(w: int, to: int) -> np.ndarray:
+        if w <= to:
+            return points[w]
+        if (w, to) not in folded:
+            folded[w, to] = points[w].reshape(len(points[w]), to, -1).sum(2, dtype=np.uint32)
+        return folded[w, to]
+
+    part = np.where(left, np.arange(len(left)) + 1, 0)  # what is connected has one number
+    out = []
+    for k in np.flatnonzero(left).tolist():
+        x, n = np.frombuffer(vectors_[k], np.uint8), total[k]
+        for w, rows in own.items():
+            pick = (part[rows] != part[k]) & (total[rows] >= t * n - 1e-9) & (total[rows] * t <= n + 1e-9)
+            if sides is not None:
+                pick &= sides[rows] != sides[k]
+            pick = np.flatnonzero(pick)
+            if not len(pick):
+                continue
+            to = min(w, len(x))
+            both = np.minimum(fold(w, to)[pick], x.reshape(to, -1).sum(1, dtype=np.uint32)).sum(1, dtype=np.int64)
+            for m in rows[pick[both * (1 + t) >= t * (n + total[rows[pick]]) - 1e-9]].tolist():
+                if part[m] != part[k]:
+                    out.append((k, m))
+                    part[part == part[m]] = part[k]
+    return out
+
+
 def joined_by_key(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
     """Links a, b between sets; a set that several rows have gets a link to itself."""
     rows = docs.select(docs[text].cast("string").alias("text"))
@@ -138,26 +177,58 @@ def joined_by_key(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
         held.clear()
         order = np.lexsort((name, key))
         key, name = key[order], name[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & (name[1:] == name[:-1])
+        double = np.unique(name[again])
+        key, name = key[~again], name[~again]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        head = name[np.flatnonzero(new)][np.cumsum(new) - 1]
-        a, b = head[~new], name[~new]
+        first = np.append(np.flatnonzero(new), len(key))
+        size = np.diff(first)
+        group = mix(segment_sum(mix(name.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)  # the same members under many keys are one
+        head, group, many = (np.repeat(x, size)[~new] for x in (name[first[:-1]], group, size > 2))
+        a, b = np.concatenate([head, double]), np.concatenate([name[~new], double])
+        group, many = np.concatenate([group, np.zeros(len(double), np.int64)]), np.concatenate([many, np.zeros(len(double), bool)])
+        group[~many] = 0
         if len(a):
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
+            order = np.lexsort((b, a, group))
+            a, b, group, many = a[order], b[order], group[order], many[order]
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (group[1:] != group[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(group[new], mask=~many[new]), pa.array(a[new]), pa.array(b[new])], ["g", "a", "b"])
 
     def prune(batches):
         for batch in batches:
-            yield batch.filter(pa.array([may_pair(x, y, t * t) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())).select([0, 1])
+            near = pa.array([may_pair(x, y, t * t) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), near], ["a", "b", "near"])
+
+    def among(group, rows):
+        side, left = (rows[c].to_numpy(zero_copy_only=False) for c in ("side", "left"))
+        found = members_links(rows["vector"].to_pylist(), left, None if group[1].as_py() == group[2].as_py() else side, t)
+        name = rows["name"].to_numpy()
+        ends = name[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"a": ends.min(1), "b": ends.max(1)})
 
     sent = written(rows.mapInArrow(send, "key long, name long, vector binary"), "keys")
-    links = written(sent.where("key IS NOT NULL").select("key", "name").repartition("key").mapInArrow(meet, "a long, b long").distinct(), "links")
+    links = written(sent.where("key IS NOT NULL").select("key", "name").repartition("key").mapInArrow(meet, "g long, a long, b long").distinct(), "links")
     of = sent.where("key IS NULL").select("name", "vector").join(links.select(F.col("a").alias("name")).union(links.select("b")), "name", "left_semi").groupBy("name").agg(F.first("vector").alias("vector"))
-    ends = links.where("a <> b").join(of.toDF("a", "va"), "a").join(of.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
-    return ends.mapInArrow(prune, "a long, b long").union(links.where("a = b"))
+    ends = links.where("a <> b").select("a", "b").distinct().join(of.toDF("a", "va"), "a").join(of.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
+    told = written(ends.mapInArrow(prune, "a long, b long, near boolean"), "told")
+    apart = links.where("g IS NOT NULL").join(told.where("NOT near").select("a", "b"), ["a", "b"]).select("g", F.col("b").alias("name"), F.lit(True).alias("left"))
+    apart = written(apart, "apart")
+    found = told.where("near").select("a", "b").union(links.where("a = b").select("a", "b"))
+    if apart.isEmpty():
+        return found
+    members = links.join(apart.select("g").distinct(), "g", "left_semi").select("g", F.explode(F.array("a", "b")).alias("name")).distinct()
+    members = members.join(apart, ["g", "name"], "left").select("g", "name", F.coalesce("left", F.lit(False)).alias("left")).join(of, "name")
+    total = Window.partitionBy("g").orderBy(F.octet_length("vector"), "name").rowsBetween(Window.unboundedPreceding, 0)
+    members = written(members.withColumn("part", F.floor((F.sum(F.octet_length("vector")).over(total) - 1) / PART).cast("int")), "members")
+    parts_ = members.groupBy("g", "part").agg(F.min(F.octet_length("vector")).alias("least"), F.max(F.octet_length("vector")).alias("most"), F.max("left").alias("any"))
+    x, y = parts_.alias("x"), parts_.alias("y")
+    meets = x.join(y, F.expr(f"x.g = y.g AND x.part <= y.part AND (x.any OR y.any) AND 2 * x.most >= {t} * y.least")).select(F.col("x.g").alias("g"), F.col("x.part").alias("i"), F.col("y.part").alias("j"))
+    inside = meets.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
+    both = members.join(inside, ["g", "part"]).select("g", "i", "j", (F.col("part") == F.col("j")).alias("side"), "name", "left", "vector")
+    return found.union(both.groupBy("g", "i", "j").applyInArrow(among, "a long, b long"))
 
 
 def forest_of(pair: np.ndarray) -> np.ndarray:

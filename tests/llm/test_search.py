@@ -82,6 +82,17 @@ def test_bound_of_long_texts_over_a_power_of_two():
         assert len(b) == 2 * len(a) and jaccard.may_pair(a, b, few / many)
 
 
+@pytest.mark.parametrize("part", [1 << 20, 600])
+def test_no_pair_is_lost_to_an_unlike_head(spark, monkeypatch, part):
+    """All texts under one key, of which nearly all are longer and share a passage; copies have an unlike head too."""
+    monkeypatch.setattr(jaccard, "keys", lambda grams, at, t: np.zeros((len(at) - 1, 1), np.int64))
+    monkeypatch.setattr(jaccard, "PART", part, raising=False)
+    passage, own = " ".join(f"p{k}" for k in range(65)), lambda i, n: " ".join(f"{i}w{k}" for k in range(n))
+    texts = [(i, f"{passage} {own(i, 160)}") for i in range(30)] + [(i, f"{passage} {own(i, 17)}") for i in (30, 31)] + [(i, own(40, 90)) for i in (40, 41)] + [(i, own(42, 100) + " " + own(i, 30)) for i in (42, 43, 44)]
+    found = jaccard.near_pairs(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {(r[0], r[1]): r[2] for r in found} == brute_pairs(texts, 2, jaccard.THRESHOLD) and len(found) == 5
+
+
 @pytest.mark.parametrize("given", [odd, clashing])
 def test_jaccard_odd_rows(spark, given):
     docs = given(spark)
