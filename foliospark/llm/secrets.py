@@ -1,8 +1,9 @@
 """Secret scans: a character convolutional network, in numpy, over every candidate and its surroundings.
 
-A candidate is a word (between white space), less quotes and brackets around it, that has 8 bytes at
-least and a digit, or a value of 6 bytes at least after ``=`` or ``:``, or 20 bytes at least with changes
-of case, or 16 capitals; after ``=`` or ``:`` (but not ``://``) the value is the candidate and the name its surroundings.
+Words (between white space) are split at ``= : , ; &`` and quotes; an address with ``://`` is one piece up to its
+parameters, or its password is. A candidate is a piece, less quotes and brackets around it, that is a value of 6 bytes
+at least, whatever its characters, or has 8 bytes at least and a digit, or 20 bytes at least with changes of case, or 16
+capitals. A value is what follows ``=`` or ``:`` in the word; the name belongs to its surroundings.
 Cheap byte counts over the whole text find them, so all of a text is looked at.
 
 The network sees 32 bytes before, the candidate and 16 bytes after. Each byte is embedded by its
@@ -34,14 +35,32 @@ from .quality import sigmoid
 BEFORE, SPAN, AFTER, DOCS, RECALL, SEED = 32, 48, 16, 4000, 0.997, 13
 LENGTH, CHARS, EMBED, FILTERS, HIDDEN, WIDE = BEFORE + SPAN + AFTER, 98, 12, 32, 24, 5
 MASK = "[REDACTED]"
-EDGE = b"\"'`()[]{}<>,;.!?"
+EDGE = b"\"'`()[]{}<>,;.!?\\"
 KNOWN = [re.compile(p) for p in (
     rb"AKIA[0-9A-Z]{16}", rb"gh[pousr]_[0-9A-Za-z]{36}", rb"sk-[0-9A-Za-z]{32,48}", rb"xox[abp]-[0-9]{10,12}-[0-9A-Za-z]{16,24}", rb"eyJ[0-9A-Za-z_-]{16,}\.[0-9A-Za-z_-]{16,}\.[0-9A-Za-z_-]{16,}", rb"AIza[0-9A-Za-z_-]{35}",
 )]
 NAMED = re.compile(rb"(?i)(?:password|passwd|pwd|secret|token|api_?key|auth)[\"']?\s*[=:]\s*[\"']?$")
+#: Pieces of a word: addresses up to their parameters, else runs without separators, with the = that fill encoded bytes up.
+PIECE = re.compile(rb"(?P<url>[A-Za-z][0-9A-Za-z+.-]*://(?:[^/:@?#\"']*:(?P<password>[^/@\"']+)@)?[^?#&=,;\"']*)|[^=:,;&\"']+(?:={1,2}(?=[,;&]|[^=0-9A-Za-z]*$|[\"'][,;&:}\]]))?")
+VALUE = re.compile(rb"[=:][\"'`\\\[({<]*$")
+CASE, CAPITAL, FIGURE = (re.compile(p) for p in (rb"[a-z](?=[A-Z])", rb"[A-Z]", rb"[0-9]"))
 UPPER, LOWER, DIGIT = (np.array([chr(c).isascii() and getattr(chr(c), k)() for c in range(256)]) for k in ("isupper", "islower", "isdigit"))
 
 
+def pieces(w: bytes) -> Iterator[tuple[int, int]]:
+    """Start and end of each candidate in a word."""
+    for m in PIECE.finditer(w):
+        x, y = m.span("password") if m["password"] else m.span()
+        value = bool(m["password"]) or not m["url"] and bool(VALUE.search(w, max(0, x - 8), x))
+        quoted = value and x > 0 and w[x - 1 : x] in (b'"', b"'") and w[x - 1 : x] == w[y : y + 1]
+        if not quoted:
+            v = w[x:y]
+            x, y = x + len(v) - len(v.lstrip(EDGE)), x + len(v.rstrip(EDGE))
+        v = w[x:y]
+        if value and len(v) >= 6 or len(v) >= 8 and (FIGURE.search(v) or len(v) >= 16 and (len(CAPITAL.findall(v)) >= 16 or len(v) >= 20 and len(CASE.findall(v)) > 2)):
+            yield x, y
+
+
 def candidates(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, start and end (in bytes of buf) of each candidate."""
     starts, ends, first = words(buf, offsets)
@@ -61,18 +80,7 @@ def candidates(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     out = []
     for d, a, b in zip(doc.tolist(), starts[own].tolist(), ends[own].tolist(), strict=True):
         w = buf[a:b].tobytes()
-        left = len(w) - len(w.lstrip(EDGE))
-        w = re.sub(rb"[\"'][^0-9A-Za-z]*$", b"", w.strip(EDGE))
-        a += left
-        cut = max(w.rfind(b"="), w.rfind(b":")) if b"://" not in w else -1
-        if w.endswith(b"=") and not re.search(rb"[=:][^=:]", w):
-            cut = -1  # filling at the end of encoded bytes
-        if cut >= 0 and len(v := w[cut + 1 :].strip(EDGE)) >= 6:
-            a += w.index(v, cut + 1)
-            w = v
-        elif len(w) < 8 or not any(48 <= c < 58 for c in w) and len(w) < 16:
-            continue
-        out.append((d, a, a + len(w)))
+        out += [(d, a + x, a + y) for x, y in pieces(w)]
     found = np.array(out, np.int64).reshape(-1, 3)
     return found[:, 0], found[:, 1], found[:, 2]
 
