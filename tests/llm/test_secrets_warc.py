@@ -73,6 +73,25 @@ def test_every_value_of_a_run_is_a_candidate(text, values):
     assert cut(f"see {text} end") == values
 
 
+@pytest.mark.parametrize("text, value", [("password: hunter2", "hunter2"), ('pwd = "s3cr3t!"', "s3cr3t!"), ("password: CorrectHorse", "CorrectHorse"), ('"password": "abcdef"', "abcdef"), ("password : hunter2", "hunter2")])
+def test_a_value_after_a_space_is_a_candidate(text, value):
+    assert cut(f"the {text} of it") == [value] and cut("password: abc12 of") == []
+    data = np.frombuffer(b"name:hunter2", np.uint8)
+    assert len(secrets.candidates(data, np.array([0, 5, 12]))[0]) == 0  # two texts
+
+
+def test_keys_without_a_candidate_lower_the_bar():
+    scores = np.arange(1000) / 1000
+    assert secrets.bar(scores, 0, 0.997) == 0.003 and secrets.bar(scores, 2, 0.997) == 0.001 and secrets.bar(scores, 9, 0.997) == 0
+
+
+def test_spaced_and_joined_passwords_are_found(net):
+    rest = [f"the list {x} goes on from here" for x in ("password: hunter2", 'pwd = "s3cr3t!"', "password: CorrectHorse", f"AWS_KEY={KEY};region=us-east-1", "Password=Xy12abcd;Timeout=300000")]
+    found = [{t[4][t[1] : t[2]].decode() for t in net.findings(strings(pa.array([x])))} for x in rest]
+    assert [v in f for v, f in zip(("hunter2", "s3cr3t!", "CorrectHorse", KEY, "Xy12abcd"), found, strict=True)] == [True] * 5
+    assert not list(net.findings(strings(pa.array(["Note: however the answer: nothing was found in it"]))))
+
+
 @pytest.mark.parametrize("given", [odd, clashing])
 def test_masking_keeps_rows_and_columns(spark, net, given):
     docs = given(spark)
