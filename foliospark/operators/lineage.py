@@ -27,17 +27,23 @@ def with_children(events: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.unionByName(below)
 
 
-def tree(pairs: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """root, entity, level and path of everything below each root, by a recursive query. roots: root."""
+def tree(pairs: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """root, entity, level and path of everything below each root, by a recursive query. roots: root.
+
+    Relations are followed until no new rows appear, or down to depth if it is given; a path ends where it would come
+    to one of its own entities again. Takes Spark's own bounds on levels and rows of recursive queries off the session."""
     spark = pairs.sparkSession
+    for what in ("Level", "Row"):
+        spark.conf.set(f"spark.sql.cteRecursion{what}Limit", "-1")
     relations(pairs).createOrReplaceTempView("_lineage_relations")
     roots.createOrReplaceTempView("_lineage_roots")
     return spark.sql(f"""
-        WITH RECURSIVE below(root, entity, level, path) AS (
-          SELECT root, root, 0, cast(root AS string) FROM _lineage_roots
+        WITH RECURSIVE below(root, entity, level, path, seen) AS (
+          SELECT root, root, 0, cast(root AS string), array(root) FROM _lineage_roots
           UNION ALL
-          SELECT b.root, r.child, b.level + 1, concat(b.path, '/', r.child) FROM below b JOIN _lineage_relations r ON r.parent = b.entity WHERE b.level < {depth})
-        SELECT * FROM below""")
+          SELECT b.root, r.child, b.level + 1, concat(b.path, '/', r.child), array_append(b.seen, r.child) FROM below b JOIN _lineage_relations r ON r.parent = b.entity
+          WHERE NOT array_contains(b.seen, r.child){"" if depth is None else f" AND b.level < {depth}"})
+        SELECT root, entity, level, path FROM below""")
 
 
 def latest_matches(matches: DataFrame) -> DataFrame:

@@ -212,6 +212,14 @@ def test_images(spark):
     assert found["bytes_base64"] == "aW1n" and found["caption"] and "m" in found["summary"] and len(found["embedding"]) == 512 and found["page_number"] == 1
 
 
+def test_lineage_has_no_last_level(spark):
+    chain = spark.createDataFrame([(f"c{k}", f"c{k + 1}", k) for k in range(120)] + [("x", "y", 0), ("y", "z", 1), ("z", "x", 2), ("z", "w", 3)], "parent string, child string, seq int")
+    found = lineage.tree(chain, spark.createDataFrame([("c0",), ("x",)], "root string")).collect()
+    assert sorted(r["level"] for r in found if r["root"] == "c0") == list(range(121))
+    assert {r["path"] for r in found if r["root"] == "x"} == {"x", "x/y", "x/y/z", "x/y/z/w"}
+    assert lineage.tree(chain, spark.createDataFrame([("c0",)], "root string"), 2).count() == 3
+
+
 def test_lineage(spark):
     p = spark.createDataFrame([("a", "b", 1), ("a", "b", 2), ("b", "c", 3), ("x", "c", 4), ("a", "a", 5)], "parent string, child string, seq int")
     assert {(r["child"], r["parent"]) for r in lineage.parents(p).collect()} == {("b", "a"), ("c", "b")} and [r["child"] for r in lineage.children(p, "a").collect()] == ["b"]
