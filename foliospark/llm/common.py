@@ -1,7 +1,7 @@
 """Shared helpers: reading tables, the shared folder, and whole-batch text handling in numpy.
 
 Texts reach Python as Arrow batches. A *chunk* is a run of rows of a batch, of about ``CHUNK`` bytes
-(one longer text is a chunk of its own, never cut); all functions below work on a chunk's raw UTF-8
+(one longer text is a chunk of its own, never cut) and ``TEXTS`` texts at most; all functions below work on a chunk's raw UTF-8
 bytes at once, so no Python object is made for a word.
 
 A *word* is a maximal run of bytes other than ASCII white space (space, \\t, \\n, \\v, \\f, \\r).
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+CHUNK, TEXTS = 1 << 20, 1 << 14
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = np.uint64(0x9E3779B97F4A7C15)
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -46,8 +46,8 @@ def give_back() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches of 1,000 texts at most reach Python, so a worker's memory stays small."""
-    if int(spark.conf.get(BATCH, "10000")) > 1000:
+    """Batches of 1,000 texts at most reach Python, so a worker's memory stays small. The setting stays, as plans read it when they run."""
+    if not 0 < int(spark.conf.get(BATCH, "10000")) <= 1000:  # 0 and less: no limit
         spark.conf.set(BATCH, "1000")
 
 
@@ -57,12 +57,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of this machine only where none is set, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, else the session's checkpoint folder. Where neither is
+    set, a folder of this machine will do only if all tasks run on it, in local mode as in tests; on a cluster it's an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
         at = at.rsplit("/", 1)[0] if at else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -82,7 +85,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder_written = path
+    return out
+
+
+def gone(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made; nothing may read them any more."""
+    for df in tables:
+        path = df.folder_written
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
@@ -110,7 +123,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
     buf, o = raw(texts)
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(o, o[a] + size, "right")) - 1)
+        b = min(a + TEXTS, max(a + 1, int(np.searchsorted(o, o[a] + size, "right")) - 1))
         yield a, b, buf[o[a] : o[b]], o[a : b + 1] - o[a]
         a = b
     if len(buf) > CHUNK:

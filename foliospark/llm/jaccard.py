@@ -17,12 +17,17 @@ chance s^ROWS, and there are enough keys that a pair of similarity exactly t is
 key are linked to its least, and links whose count vectors rule out a similarity of t^2 go. That says nothing of the
 members left over: each is compared with all members of the key that it is not yet connected with, and linked
 unless the counts rule out t, so no pair that shares a key is lost to an unlike third text. What is connected is
-a neighbourhood. Inside it sets are sorted by size into tiles, tiles of sizes that can't pair are left out,
+a neighbourhood. A large one is cut into tiles of like sizes, tiles of sizes that can't pair are left out,
 and each pair of tiles is joined through a tree. No bound on members or partners.
 
+All this is done with sets, each once however many rows have it: a task sends a set's keys when it first meets it, and
+ids come back by a join on the set's name. ``distinct_texts`` needs connections only, not all pairs: each set is
+first compared with one it is linked to, and then only with those that it is not yet connected with.
+
 Defined results: null and empty texts and rows without an id are in no pair; repeated rows of one id
 count once; ids of a pair are in order, never equal. Where rows of one id have different texts each
-is compared. In ``distinct_texts`` rows without words stay.
+is compared. In ``distinct_texts`` rows without words and rows without an id stay, and rows of one id and one set
+count once. Extra columns are kept by ``distinct_texts``, whatever their names, and left out by ``near_pairs``.
 """
 
 from __future__ import annotations
@@ -31,13 +36,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import AtomicType, LongType, StructField, StructType
 
-from .common import chunks, free, mix, ragged, span_hash, words, written
+from .common import chunks, free, gone, mix, ragged, span_hash, words, written
 
-NGRAM, THRESHOLD, AGREE, ROWS, TILE, LEAF, BITS, NAMES, PART = 2, 0.6, 6.0, 5, 256, 8, np.uint64(48), 1_000_000, 1 << 20
+NGRAM, THRESHOLD, AGREE, ROWS, TILE, LEAF, BITS, PART, HELD = 2, 0.6, 6.0, 5, 256, 8, np.uint64(48), 1 << 20, 1 << 20
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -98,24 +104,44 @@ def keys(grams: np.ndarray, at: np.ndarray, t: float) -> np.ndarray:
     return mix(out + np.arange(count, dtype=np.uint64)).view(np.int64)
 
 
-def vectors(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Counts of each set's n-grams in groups, as many as n-grams, a power of 2, a byte each."""
+def counted(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each set's n-grams in groups, as many as n-grams, a power of 2, a byte each, and len + 1 offsets."""
     size = np.diff(at)
     power = np.ceil(np.log2(np.maximum(size, 8))).astype(np.int64)
-    width = 2**power
-    end = np.cumsum(width)
-    place = np.repeat(end - width, size) + (grams >> np.repeat(int(BITS) - power, size).astype(np.uint64)).astype(np.int64)
-    flat = np.minimum(np.bincount(place, minlength=int(end[-1]) if len(end) else 0), 255).astype(np.uint8)
-    return [flat[e - w : e].tobytes() for e, w in zip(end, width, strict=True)]
+    end = np.concatenate([[0], np.cumsum(2**power)])
+    place = np.repeat(end[:-1], size) + (grams >> np.repeat(int(BITS) - power, size).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=int(end[-1])), 255).astype(np.uint8), end
+
+
+def vectors(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
+    flat, end = counted(grams, at)
+    return [flat[a:b].tobytes() for a, b in zip(end[:-1], end[1:], strict=True)]
 
 
 def may_pair(a: bytes, b: bytes, t: float) -> bool:
     """Whether the counts' bound allows a similarity of t."""
-    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
-    if len(x) < len(y):
-        x, y = y, x
-    x = x.reshape(len(y), -1).sum(1)
-    return bool(np.minimum(x, y).sum() * (1 + t) >= t * (x.sum() + y.sum()) - 1e-9)
+    return bool(may_pairs(pa.array([a], pa.binary()), pa.array([b], pa.binary()), t)[0])
+
+
+def may_pairs(a: pa.Array, b: pa.Array, t: float) -> np.ndarray:
+    """``may_pair`` of each row's two vectors, those of the same widths at once."""
+    out = np.zeros(len(a), bool)
+    wide = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    for x, y in np.unique(np.stack(wide, 1), axis=0).tolist():
+        own = np.flatnonzero((wide[0] == x) & (wide[1] == y))
+        step, w = max(1, (1 << 21) // (x + y)), min(x, y)
+        for k in range(0, len(own), step):
+            rows = own[k : k + step]
+            u, v = (raw_bytes(c.take(pa.array(rows))).reshape(len(rows), w, -1).sum(2, dtype=np.int32) for c in (a, b))
+            out[rows] = np.minimum(u, v).sum(1) * (1 + t) >= t * (u.sum(1) + v.sum(1)) - 1e-9
+    return out
+
+
+def raw_bytes(column: pa.Array) -> np.ndarray:
+    """All bytes of a column without nulls, one value after the other."""
+    wide = column.cast(pa.large_binary())
+    o = np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1, wide.offset * 8)
+    return np.frombuffer(wide.buffers()[2], np.uint8)[o[0] : o[-1]]
 
 
 def members_links(vectors_: list[bytes], left: np.ndarray, sides: np.ndarray | None, t: float) -> list[tuple[int, int]]:
@@ -155,40 +181,71 @@ def members_links(vectors_: list[bytes], left: np.ndarray, sides: np.ndarray | N
     return out
 
 
-def joined_by_key(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
-    """Links a, b between sets; a set that several rows have gets a link to itself."""
-    rows = docs.select(docs[text].cast("string").alias("text"))
+def sent(docs: DataFrame, n: int, t: float, key: str, text: str) -> DataFrame:
+    """What is known of the sets, in one pass: (key, name) for each key of a set, (name, size, vector) for each
+    set, both once a task, and (name, id) for each row that has an id and words."""
+    rows = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    columns = ["key", "name", "size", "vector", "id"]
 
     def send(batches):
+        seen = np.zeros(0, np.int64)
         for batch in batches:
-            for _, _, buf, offsets in chunks(batch.column(0), lower=True):
+            ids, none = batch.column(0), lambda k: pa.nulls(k, pa.int64())
+            for first, last, buf, offsets in chunks(batch.column(1), lower=True):
                 grams, at = gram_sets(buf, offsets, n)
                 own = np.flatnonzero(np.diff(at))
                 at = np.append(at[own], at[-1])
-                name, key = names(grams, at), keys(grams, at, t)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(name, key.shape[1])), pa.nulls(key.size, pa.binary())], ["key", "name", "vector"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(name), pa.int64()), pa.array(name), pa.array(vectors(grams, at), pa.binary())], ["key", "name", "vector"])
-
-    def meet(batches):
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not held:
-            return
-        key, name = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
-        again = np.zeros(len(key), bool)
-        again[1:] = (key[1:] == key[:-1]) & (name[1:] == name[:-1])
-        double = np.unique(name[again])
-        key, name = key[~again], name[~again]
+                name = names(grams, at)
+                given = ids.slice(first, last - first).take(pa.array(own))
+                has = given.is_valid()
+                many = pc.sum(has).as_py() or 0
+                yield pa.RecordBatch.from_arrays([none(many), pa.array(name).filter(has), none(many), pa.nulls(many, pa.binary()), given.filter(has)], columns)
+                fresh, at0 = np.unique(name, return_index=True)
+                at0 = at0[~np.isin(fresh, seen, assume_unique=True)]
+                seen = np.union1d(seen, fresh)
+                size = np.diff(at)[at0]
+                grams, name, at = grams[ragged(at[at0], size)], name[at0], np.concatenate([[0], np.cumsum(size)])
+                sets = len(name)
+                if not sets:
+                    continue
+                key = keys(grams, at, t)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(name, key.shape[1])), none(key.size), pa.nulls(key.size, pa.binary()), pa.nulls(key.size, ids.type)], columns)
+                flat, end = counted(grams, at)
+                vector = pa.Array.from_buffers(pa.large_binary(), sets, [None, pa.py_buffer(end.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([none(sets), pa.array(name), pa.array(size), vector, pa.nulls(sets, ids.type)], columns)
+
+    return rows.mapInArrow(send, f"key long, name long, size long, vector binary, id {kind}")
+
+
+def joined_by_key(sent_: DataFrame, t: float) -> DataFrame:
+    """Links a, b (a below b) between sets. sent_: a table of what ``sent`` gives."""
+
+    def meet(batches):  # sorted by key and name
+        keys_, names_, held = [], [], 0
+        for batch in batches:
+            keys_.append(batch.column(0).to_numpy())
+            names_.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held >= HELD and keys_[-1][-1] != keys_[0][0]:
+                key, name = np.concatenate(keys_), np.concatenate(names_)
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may have more
+                yield from met(key[:cut], name[:cut])
+                keys_, names_, held = [key[cut:]], [name[cut:]], 0
+        if keys_:
+            yield from met(np.concatenate(keys_), np.concatenate(names_))
+
+    def met(key, name):
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])  # other tasks may have sent it too
+        key, name = key[new], name[new]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         first = np.append(np.flatnonzero(new), len(key))
         size = np.diff(first)
         group = mix(segment_sum(mix(name.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)  # the same members under many keys are one
-        head, group, many = (np.repeat(x, size)[~new] for x in (name[first[:-1]], group, size > 2))
-        a, b = np.concatenate([head, double]), np.concatenate([name[~new], double])
-        group, many = np.concatenate([group, np.zeros(len(double), np.int64)]), np.concatenate([many, np.zeros(len(double), bool)])
+        a, group, many = (np.repeat(x, size)[~new] for x in (name[first[:-1]], group, size > 2))
+        b = name[~new]
         group[~many] = 0
         if len(a):
             order = np.lexsort((b, a, group))
@@ -199,8 +256,8 @@ def joined_by_key(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
 
     def prune(batches):
         for batch in batches:
-            near = pa.array([may_pair(x, y, t * t) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), near], ["a", "b", "near"])
+            near = may_pairs(batch.column(2), batch.column(3), t * t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["a", "b", "near"])
 
     def among(group, rows):
         side, left = (rows[c].to_numpy(zero_copy_only=False) for c in ("side", "left"))
@@ -209,16 +266,18 @@ def joined_by_key(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
         ends = name[np.array(found, np.int64).reshape(-1, 2)]
         return pa.table({"a": ends.min(1), "b": ends.max(1)})
 
-    sent = written(rows.mapInArrow(send, "key long, name long, vector binary"), "keys")
-    links = written(sent.where("key IS NOT NULL").select("key", "name").repartition("key").mapInArrow(meet, "g long, a long, b long").distinct(), "links")
-    of = sent.where("key IS NULL").select("name", "vector").join(links.select(F.col("a").alias("name")).union(links.select("b")), "name", "left_semi").groupBy("name").agg(F.first("vector").alias("vector"))
-    ends = links.where("a <> b").select("a", "b").distinct().join(of.toDF("a", "va"), "a").join(of.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
+    keyed = sent_.where("key IS NOT NULL").select("key", "name").repartition("key").sortWithinPartitions("key", "name")
+    links = written(keyed.mapInArrow(meet, "g long, a long, b long").distinct(), "links")
+    of = sent_.where("vector IS NOT NULL").select("name", "vector").join(links.select(F.col("a").alias("name")).union(links.select("b")), "name", "left_semi").groupBy("name").agg(F.first("vector").alias("vector"))
+    ends = links.select("a", "b").distinct().join(of.toDF("a", "va"), "a").join(of.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
     told = written(ends.mapInArrow(prune, "a long, b long, near boolean"), "told")
     apart = links.where("g IS NOT NULL").join(told.where("NOT near").select("a", "b"), ["a", "b"]).select("g", F.col("b").alias("name"), F.lit(True).alias("left"))
     apart = written(apart, "apart")
-    found = told.where("near").select("a", "b").union(links.where("a = b").select("a", "b"))
+    found = told.where("near").select("a", "b")
     if apart.isEmpty():
-        return found
+        out = written(found, "agreeing")
+        gone(links, told, apart)
+        return out
     members = links.join(apart.select("g").distinct(), "g", "left_semi").select("g", F.explode(F.array("a", "b")).alias("name")).distinct()
     members = members.join(apart, ["g", "name"], "left").select("g", "name", F.coalesce("left", F.lit(False)).alias("left")).join(of, "name")
     total = Window.partitionBy("g").orderBy(F.octet_length("vector"), "name").rowsBetween(Window.unboundedPreceding, 0)
@@ -228,7 +287,9 @@ def joined_by_key(docs: DataFrame, n: int, t: float, text: str) -> DataFrame:
     meets = x.join(y, F.expr(f"x.g = y.g AND x.part <= y.part AND (x.any OR y.any) AND 2 * x.most >= {t} * y.least")).select(F.col("x.g").alias("g"), F.col("x.part").alias("i"), F.col("y.part").alias("j"))
     inside = meets.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
     both = members.join(inside, ["g", "part"]).select("g", "i", "j", (F.col("part") == F.col("j")).alias("side"), "name", "left", "vector")
-    return found.union(both.groupBy("g", "i", "j").applyInArrow(among, "a long, b long"))
+    out = written(found.union(both.groupBy("g", "i", "j").applyInArrow(among, "a long, b long")).distinct(), "agreeing")
+    gone(links, told, apart, members)
+    return out
 
 
 def forest_of(pair: np.ndarray) -> np.ndarray:
@@ -266,14 +327,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.least(F.min("b").over(w), "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.withColumn("m", F.min("b").over(w))
         small = small.select("b", "m").where("b <> m").union(small.select("a", "m")).toDF("a", "b").distinct()
-        now = written(small, "stars")
+        now, old = written(small, "stars"), now
+        gone(old)
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def with_name(docs: DataFrame, n: int, text: str, name: str, only: np.ndarray | None = None) -> DataFrame:
-    """docs with each text's set name (null without words) and size; all columns are kept. only: sorted names, other rows are left out."""
+def with_name(docs: DataFrame, n: int, text: str, name: str) -> DataFrame:
+    """docs with the name of each text's set (null without words); all columns are kept."""
     place = docs.columns.index(text)
-    out = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)] + [StructField(name, LongType()), StructField(f"{name}size", LongType())])
+    out = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)] + [StructField(name, LongType())])
 
     def run(batches):
         for batch in batches:
@@ -282,11 +344,27 @@ def with_name(docs: DataFrame, n: int, text: str, name: str, only: np.ndarray |
                 grams, at = gram_sets(buf, offsets, n)
                 made.append(names(grams, at))
                 size.append(np.diff(at))
-            size_, made_ = np.concatenate(size), np.concatenate(made)
-            found = pa.RecordBatch.from_arrays([*batch.columns, pa.array(made_, mask=size_ == 0), pa.array(size_)], [f"c{k}" for k in range(batch.num_columns)] + [name, f"{name}size"])
-            yield found if only is None else found.filter(pa.array((size_ > 0) & (only[np.minimum(np.searchsorted(only, made_), len(only) - 1)] == made_) if len(only) else size_ < 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(made), mask=np.concatenate(size) == 0)], [f"c{k}" for k in range(batch.num_columns)] + [name])
 
-    return docs.mapInArrow(run, out).toDF(*docs.columns, name, f"{name}size")
+    return docs.mapInArrow(run, out).toDF(*docs.columns, name)
+
+
+def texts_of(docs: DataFrame, n: int, text: str, nodes: DataFrame) -> DataFrame:
+    """node and text of the sets that nodes names, one text of each; a task sends a set's text once."""
+    rows = docs.select(docs[text].cast("string").alias("text"))
+
+    def run(batches):
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            for first, last, buf, offsets in chunks(batch.column(0), lower=True):
+                grams, at = gram_sets(buf, offsets, n)
+                own = np.flatnonzero(np.diff(at))
+                fresh, at0 = np.unique(names(grams, np.append(at[own], at[-1])), return_index=True)
+                new = ~np.isin(fresh, seen, assume_unique=True)
+                seen = np.union1d(seen, fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(fresh[new]), batch.column(0).slice(first, last - first).take(pa.array(own[at0[new]]))], ["node", "text"])
+
+    return rows.mapInArrow(run, "node long, text string").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
 class Tree:
@@ -337,15 +415,17 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
-def similar(grams: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i, j of sets of left and right (i before j where both are on both sides) with their similarity, t at least."""
+def similar(grams: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, t: float, kin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i, j of sets of left and right (i before j where both are on both sides) with their similarity, t at least.
+
+    kin: numbers of which only unlike ones are compared."""
     size = np.diff(at)
     width = int(min(128, max(8, 2 ** math.ceil(math.log2(max(1, size.max() / 6))))))
     doc = np.repeat(np.arange(len(size)), size)
     points = np.bincount(doc * width + ((grams * np.uint64(width)) >> BITS).astype(np.int64), minlength=len(size) * width).reshape(-1, width).astype(np.int32)
     i, j = Tree(points[right], size[right]).partners(points[left], size[left], t)
     i, j = left[i], right[j]
-    keep = i < j
+    keep = i < j if kin is None else (i < j) & (kin[i] != kin[j])
     i, j = i[keep], j[keep]
     order = np.argsort(i, kind="stable")
     i, j = i[order], j[order]
@@ -363,35 +443,36 @@ def similar(grams: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarr
     return i[ok], j[ok], out[ok]
 
 
-def neighbours(docs: DataFrame, n: int, t: float, key: str, text: str, tile: int) -> DataFrame:
-    """key, node, size, text, root and tile of the rows that have any neighbour; rows of one key and one set once.
+def tiled(nodes: DataFrame, t: float, tile: int) -> DataFrame:
+    """nodes with the tile of their neighbourhood, named by its size class and two numbers, those of one sub together.
 
-    Where the neighbours' names are no more than ``NAMES`` they go to the tasks, so that other texts aren't moved; else a join sorts them out."""
-    roots = written(components(written(joined_by_key(docs, n, t, text), "agreeing")), "roots")
-    only = np.sort(roots.select("node").toArrow()["node"].to_numpy()) if roots.count() <= NAMES else None
-    rows = with_name(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")), n, "text", "node", only).where("node IS NOT NULL AND key IS NOT NULL").withColumnRenamed("nodesize", "size")
-    w = Window.partitionBy("root").orderBy("size", "node", "key")
-    rows = rows.join(roots, "node").withColumn("again", (F.lag("node").over(w) == F.col("node")) & (F.lag("key").over(w) == F.col("key"))).where("again IS NULL OR NOT again").drop("again")
-    return rows.withColumn("tile", F.expr(f"cast((row_number() OVER (PARTITION BY root ORDER BY size, node, key) - 1) div {tile} AS int)"))
+    A neighbourhood of one tile's worth is one tile. nodes: node, size, root, sub; those alone in their root are left out."""
+    whole = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("all"), F.min("sub").alias("low"), F.max("sub").alias("high")).where("low < high").drop("low", "high")
+    nodes = nodes.join(whole, "root").withColumn("class", F.when(F.col("all") <= tile, F.lit(0)).otherwise(F.floor(4 * F.log("size") / math.log(1 / t)).cast("int")))
+    nodes = nodes.join(nodes.groupBy("root", "class").agg(F.count(F.lit(1)).alias("n")), ["root", "class"]).withColumn("part", F.expr(f"cast(pmod(xxhash64(sub), greatest(1, ceil(n / {tile}))) as int)")).drop("n")
+    nodes = nodes.join(nodes.groupBy("root", "class", "part").agg(F.count(F.lit(1)).alias("n")), ["root", "class", "part"])
+    return nodes.withColumn("tile", F.struct("class", "part", F.expr(f"cast(pmod(xxhash64(node), ceil(n / {2 * tile})) as int)").alias("cut"))).select("node", "size", "root", "sub", "tile")
 
 
-def verified(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: str = "doc_id", text: str = "text", forest: bool = False, tile: int = TILE) -> DataFrame:
-    """Pairs a, b of rows with node_a, node_b and jaccard; with forest, only as many as connect what is connected, without jaccard."""
-    near = written(neighbours(docs, n, t, key, text, tile), "neighbours")
-    of = near.groupBy("root", "tile").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("rows"))
+def assigned(nodes: DataFrame, t: float, tile: int) -> DataFrame:
+    """g, i, j, side, node and sub: the pairs of tiles that may hold pairs of unlike subs, with their nodes (side: those of j)."""
+    cut = written(tiled(nodes, t, tile), "tiles")
+    of = cut.groupBy("root", "tile").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("sub").alias("low"), F.max("sub").alias("high"))
     x, y = of.alias("x"), of.alias("y")
-    meets = x.join(y, F.expr(f"x.root = y.root AND x.tile <= y.tile AND x.most >= {t} * y.least AND (x.tile < y.tile OR x.rows > 1)")).select(F.col("x.root").alias("root"), F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
-    meets = written(meets, "meets")
-    inside = meets.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    rows = near.join(inside, ["root", "tile"]).select("root", "i", "j", (F.col("tile") == F.col("j")).alias("right"), "key", "node", "text")
-    kind = near.schema["key"].dataType.simpleString()
+    meets = x.join(y, F.expr(f"x.root = y.root AND x.tile <= y.tile AND x.most >= {t} * y.least AND y.most >= {t} * x.least AND (x.low < x.high OR y.low < y.high OR x.low <> y.low)"))
+    inside = meets.select(F.col("x.root").alias("root"), F.col("x.tile").alias("i"), F.col("y.tile").alias("j")).select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    return cut.join(inside, ["root", "tile"]).select(F.col("root").alias("g"), "i", "j", (F.col("tile") == F.col("j")).alias("side"), "node", "sub")
+
+
+def compared(places: DataFrame, texts: DataFrame, n: int, t: float, forest: bool) -> DataFrame:
+    """node_a, node_b and jaccard of the pairs of sets that places brings together; forest: only as many as connect what is connected."""
 
     def join(group, rows):
-        sides = rows["right"].to_numpy(zero_copy_only=False)
+        sides = rows["side"].to_numpy(zero_copy_only=False)
         same = group[1].as_py() == group[2].as_py()
         order = np.argsort(sides, kind="stable")  # left rows first
         rows = rows.take(pa.array(order))
-        sides = sides[order]
+        sides, node, kin = sides[order], rows["node"].to_numpy(), rows["sub"].to_numpy()
         sets, counts = [], [np.zeros(1, np.int64)]
         for _, _, buf, offsets in chunks(rows["text"], lower=True):
             g, at = gram_sets(buf, offsets, n)
@@ -399,20 +480,56 @@ def verified(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: str = "
             counts.append(np.diff(at))
         grams, at = np.concatenate(sets), np.cumsum(np.concatenate(counts))
         everyone = np.arange(len(sides))
-        i, j, s = similar(grams, at, everyone if same else everyone[~sides], everyone if same else everyone[sides], t)
+        i, j, s = similar(grams, at, everyone if same else everyone[~sides], everyone if same else everyone[sides], t, kin)
         if forest and len(i):
             ends = forest_of(np.stack([i, j], 1))
             i, j, s = ends[:, 0], ends[:, 1], np.full(len(ends), np.nan)
-        take = lambda c, k: rows[c].take(pa.array(k))
-        return pa.table({"a": take("key", i), "b": take("key", j), "node_a": take("node", i), "node_b": take("node", j), "jaccard": pa.array(s)})
+        return pa.table({"node_a": node[i], "node_b": node[j], "jaccard": s})
+
+    rows = places.join(texts, "node").select("g", "i", "j", "side", "node", "sub", "text")
+    return rows.groupBy("g", "i", "j").applyInArrow(join, "node_a long, node_b long, jaccard double")
+
 
-    return rows.groupBy("root", "i", "j").applyInArrow(join, f"a {kind}, b {kind}, node_a long, node_b long, jaccard double")
+def loose(sent_: DataFrame, links: DataFrame) -> DataFrame:
+    """node, size and root of the sets that links connect."""
+    size = sent_.where("vector IS NOT NULL").groupBy(F.col("name").alias("node")).agg(F.first("size").alias("size"))
+    return written(components(links).join(size, "node"), "roots")
+
+
+def verified(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """a, b (a below b) and jaccard of all pairs of similarity t or more."""
+    about = written(sent(docs, n, t, key, text), "sets")
+    nodes = loose(about, joined_by_key(about, t))
+    found = compared(assigned(nodes.withColumn("sub", F.col("node")), t, tile), texts_of(docs, n, text, nodes), n, t, False)
+    ids = about.where("id IS NOT NULL").select("name", "id").distinct()
+    a, b = ids.toDF("node_a", "a"), ids.toDF("node_b", "b")
+    apart = found.join(a, "node_a").join(b, "node_b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    return apart.unionByName(a.join(b, F.expr("node_a = node_b AND a < b")).select("a", "b", F.lit(1.0).alias("jaccard")))
 
 
 def near_pairs(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id_a, doc_id_b (a below b) and jaccard of all pairs of similarity t or more."""
-    found = verified(docs, n, t, key, text).where("a <> b")
-    return found.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b"), "jaccard")
+    return verified(docs, n, t, key, text).toDF(f"{key}_a", f"{key}_b", "jaccard")
+
+
+def connected(docs: DataFrame, about: DataFrame, n: int, t: float, text: str, tile: int = TILE) -> DataFrame:
+    """node and root of the sets that pairs of similarity t or more connect with others.
+
+    A set is compared with the least that it is linked to first; of the rest only sets that this leaves unconnected are."""
+    links = joined_by_key(about, t)
+    nodes = loose(about, links)
+    texts = written(texts_of(docs, n, text, nodes), "texts")
+    first = links.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).groupBy("b").agg(F.min("a").alias("g"))
+    first = first.join(first.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g").withColumn("j", F.expr(f"cast(pmod(xxhash64(b), ceil(n / {tile})) + 1 as int)"))
+    heads, under = first.select("g", F.lit(0).alias("i"), "j", F.lit(False).alias("side"), F.col("g").alias("node")).distinct(), first.select("g", F.lit(0).alias("i"), "j", F.lit(True).alias("side"), F.col("b").alias("node"))
+    near = written(compared(heads.unionByName(under).withColumn("sub", F.col("node")), texts, n, t, False).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "first")
+    subs = components(near)
+    nodes_ = nodes.join(subs.withColumnRenamed("root", "sub"), "node", "left").withColumn("sub", F.coalesce("sub", "node"))
+    rest = compared(assigned(nodes_, t, tile), texts, n, t, True).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    edges = written(near.union(rest), "forest")
+    out = written(components(edges), "groups")
+    gone(links, nodes, texts, near, edges)
+    return out
 
 
 def distinct_texts(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -420,12 +537,19 @@ def distinct_texts(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: s
 
     The rows move once, by their set's name, and only if the copies are too many to broadcast."""
     p = free(docs, "_near")
-    found = written(verified(docs, n, t, key, text, forest=True), "forest")
-    roots = written(components(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), "groups")
-    ids = found.select(F.col("a").alias("id"), F.col("node_a").alias("node")).union(found.select("b", "node_b")).distinct()
-    lead = ids.join(roots, "node").groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("lead"))
-    losers = written(roots.join(lead, "root").where("node <> lead").select(F.col("node").alias(f"{p}gone")), "copies")
+    about = written(sent(docs, n, t, key, text), "sets")
+    roots = connected(docs, about, n, t, text)
+    ids = about.where("id IS NOT NULL").groupBy(F.col("name").alias("node")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    of = ids.join(roots, "node", "left")
+    lead = of.where("root IS NOT NULL").groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("lead"))
+    of = of.join(lead, "root", "left").withColumn("stays", F.coalesce(F.col("lead") == F.col("node"), F.lit(True))).where("rows > 1 OR NOT stays")
+    copies = written(of.select(F.col("node").alias(f"{p}node"), F.when(F.col("stays"), F.col("id")).alias(f"{p}id")), "copies")
+    repeated = not about.where("id IS NOT NULL").groupBy("name", "id").count().where("count > 1").isEmpty()
+    gone(roots, about)
     rows = with_name(docs, n, text, p)
-    rows = rows.join(losers, F.col(p) == F.col(f"{p}gone"), "left_anti")
-    w = Window.partitionBy(F.coalesce(F.col(p), F.xxhash64(docs.columns[0], key))).orderBy(F.col(p), key)
-    return rows.withColumn(f"{p}o", F.row_number().over(w)).where((F.col(f"{p}o") == 1) | F.col(p).isNull()).select(*docs.columns)
+    rows = rows.join(copies, (F.col(p) == F.col(f"{p}node")) & F.col(key).isNotNull(), "left")
+    if not repeated:
+        return rows.where(F.col(f"{p}node").isNull() | (F.col(key) == F.col(f"{p}id"))).select(*docs.columns)
+    w = Window.partitionBy(p, key).orderBy(*[F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, AtomicType)])
+    first = rows.where(F.col(key) == F.col(f"{p}id")).withColumn(f"{p}o", F.row_number().over(w)).where(F.col(f"{p}o") == 1)
+    return rows.where(F.col(f"{p}node").isNull()).select(*docs.columns).union(first.select(*docs.columns))
