@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,17 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def similar_enough(a: Column, b: Column, threshold: float) -> Column:
-    """Whether the similarity is at least the threshold; lengths are compared first, which rules out most rows cheaply."""
+def similar_enough(a: Column, b: Column, threshold: float, length: int | None = None) -> Column:
+    """Whether the similarity is at least the threshold; lengths are compared first, which rules out most rows cheaply.
+
+    length: that of b, if it is known; then distances are only followed as far as they matter."""
     la, lb = F.char_length(a), F.char_length(b)
-    return (F.abs(la - lb) <= (1 - threshold) * F.greatest(la, lb) + 1e-9) & (similarity(a, b) >= threshold)
+    near = F.abs(la - lb) <= (1 - threshold) * F.greatest(la, lb) + 1e-9
+    if length is None or not 0 < threshold <= 1:
+        return near & (similarity(a, b) >= threshold)
+    longest, most = F.greatest(la, lb), math.floor((1 - threshold) * math.ceil(length / threshold) + 1e-9) + 1
+    distance = F.levenshtein(a, b, most)
+    return near & ((longest == 0) | (distance >= 0) & (1 - distance / longest >= threshold))
 
 
 _TIMES = {"Bold": "Times-Bold", "BoldItalic": "Times-BoldItalic", "Italic": "Times-Italic", "": "Times-Roman"}

@@ -28,7 +28,7 @@ from foliospark.operators import style
 from foliospark.plans.docql import Element, MatchConfig, Template, as_string, parse_template
 
 DEPTH, SIMILAR = 10, 5
-MATCHES = "doc_id bigint, seq int, node int, depth int, type string, start_idx int, stop_idx int, end_idx int, parent_seq int, output_parent int"
+MATCHES = "doc_id {}, seq int, node int, depth int, type string, start_idx int, stop_idx int, end_idx int, parent_seq int, output_parent int"
 
 
 @dataclass
@@ -166,7 +166,7 @@ def prepared(elements: DataFrame, plan: Plan, references: DataFrame | None = Non
     e = elements if references is None else elements.join(references.select("doc_id", "doc_idx", "refs"), ["doc_id", "doc_idx"], "left")
     refs = F.lit(0) if references is None else F.coalesce("refs", F.lit(0))
     for k, (pattern, threshold) in enumerate(plan.configs):
-        ok = text & similar_enough(F.col("text"), F.lit(pattern), threshold)
+        ok = text & similar_enough(F.col("text"), F.lit(pattern), threshold, len(pattern))
         e = e.withColumn(f"s{k}", F.when(ok, similarity(F.col("text"), F.lit(pattern))))
     roots = [plan.number(s.match) for s in plan.sections()]
     if all(x.type == "Section" for x in plan.template.elements) and None not in roots:
@@ -211,10 +211,10 @@ def align(elements: DataFrame, template: Template | str, references: DataFrame |
                 for seq, (node, depth, kind, start, stop, end, up, over) in enumerate(plan.align(Document(**own, hits=hits))):
                     out.append((doc_id, seq, node, depth, kind, place(start), place(stop), place(end), up, over))
             columns = list(zip(*out, strict=True)) or [()] * 10
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), *(pa.int32(),) * 5)
+            types = (batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), *(pa.int32(),) * 5)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], [x.split()[0] for x in MATCHES.split(", ")])
 
-    return prepared(elements, plan, references).mapInArrow(run, MATCHES)
+    return prepared(elements, plan, references).mapInArrow(run, MATCHES.format(elements.schema["doc_id"].dataType.simpleString()))
 
 
 def metadata(template: Template) -> dict[int, tuple[str | None, str | None]]:

@@ -35,15 +35,13 @@ def tree(pairs: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFr
     spark = pairs.sparkSession
     for what in ("Level", "Row"):
         spark.conf.set(f"spark.sql.cteRecursion{what}Limit", "-1")
-    relations(pairs).createOrReplaceTempView("_lineage_relations")
-    roots.createOrReplaceTempView("_lineage_roots")
     return spark.sql(f"""
         WITH RECURSIVE below(root, entity, level, path, seen) AS (
-          SELECT root, root, 0, cast(root AS string), array(root) FROM _lineage_roots
+          SELECT root, root, 0, cast(root AS string), array(root) FROM {{roots}}
           UNION ALL
-          SELECT b.root, r.child, b.level + 1, concat(b.path, '/', r.child), array_append(b.seen, r.child) FROM below b JOIN _lineage_relations r ON r.parent = b.entity
+          SELECT b.root, r.child, b.level + 1, concat(b.path, '/', r.child), array_append(b.seen, r.child) FROM below b JOIN {{relations}} r ON r.parent = b.entity
           WHERE NOT array_contains(b.seen, r.child){"" if depth is None else f" AND b.level < {depth}"})
-        SELECT root, entity, level, path FROM below""")
+        SELECT root, entity, level, path FROM below""", relations=relations(pairs), roots=roots)
 
 
 def latest_matches(matches: DataFrame) -> DataFrame:

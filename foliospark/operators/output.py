@@ -12,22 +12,23 @@ from foliospark.operators import chunk
 from foliospark.plans.docql import Element, Template, as_number, parse_template
 
 
-def outputs(elements: DataFrame, template: Template | str, matches: DataFrame | None = None, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+def outputs(elements: DataFrame, template: Template | str, matches: DataFrame | None = None, tokens: Callable[[Column], Column] | None = None, references: DataFrame | None = None) -> DataFrame:
     """A row for each chunk: sections emit their own content, then their children. A child refers to the first chunk of the
-    section around it; text chunks right below a root section refer to none."""
+    section around it; text chunks right below a root section refer to none. references: counts that alignment takes into account."""
     template = parse_template(template) if isinstance(template, str) else template
-    matches = aligning.align(elements, template) if matches is None else matches
+    matches = aligning.align(elements, template, references) if matches is None else matches
     nodes = list(template.walk())
     about = aligning.metadata(template)
-    settings: dict[tuple[int, int], list[int]] = {}
+    given: list[tuple[int, int]] = []
+    which = F.lit(0)
     for k, e in enumerate(nodes):
         limit, overlap = as_number(e.attributes.get("chunkSize")), as_number(e.attributes.get("chunkOverlap"))
-        settings.setdefault((500 if limit is None else limit, 150 if overlap is None else overlap), []).append(k)
+        own = (500 if limit is None else limit, 150 if overlap is None else overlap)
+        if own not in given:
+            given.append(own)
+        which = F.when(F.col("node") == k, F.lit(given.index(own))).otherwise(which)
     content = elements.where("kind = 'text'").join(matches.where(F.col("type").isin("Section", "TextChunk", "Paragraph", "Table")), "doc_id").where("doc_idx >= start_idx AND doc_idx < stop_idx")
-    made = None
-    for (limit, overlap), own in settings.items():
-        part = chunk.chunks(content.where(F.col("node").isin(own)), limit, overlap, ["doc_id", "seq", "node", "output_parent"], tokens)
-        made = part if made is None else made.unionByName(part)
+    made = chunk.chunks(content, keys=["doc_id", "seq", "node", "output_parent"], tokens=tokens, settings=(given, which))
     rows = made.withColumn("out_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "chunk")) - 1)
     by_seq = Window.partitionBy("doc_id").orderBy("seq", "chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = F.map_from_entries(F.array_distinct(F.filter(F.collect_list(F.when(F.col("chunk") == 0, F.struct("seq", "out_idx"))).over(by_seq), lambda x: x.isNotNull())))
@@ -67,10 +68,10 @@ def document_json(rows: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("out_idx", "json"))), lambda x: x.json), ","), F.lit("]")).alias("json"))
 
 
-def process(elements: DataFrame, template: str, tokens: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def process(elements: DataFrame, template: str, tokens: Callable[[Column], Column] | None = None, references: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three results of processing: output rows, blocks of lines, and matches."""
     from foliospark.operators.layout import blocks
 
     parsed = parse_template(template)
-    matches = aligning.align(elements, parsed)
+    matches = aligning.align(elements, parsed, references)
     return outputs(elements, parsed, matches, tokens), blocks(elements), matches

@@ -68,12 +68,12 @@ def fuzzy(elements: DataFrame, pattern: str, threshold: float, start: int = 0, e
     text, wanted = (F.lower("text"), F.lower(F.lit(pattern))) if lower else (F.col("text"), F.lit(pattern))
     found = elements.where((F.col("kind") == "text") & (F.col("doc_idx") >= start))
     found = found if end is None else found.where(F.col("doc_idx") < end)
-    return found.where(similar_enough(text, wanted, threshold)).withColumn("score", similarity(text, wanted))
+    return found.where(similar_enough(text, wanted, threshold, len(pattern))).withColumn("score", similarity(text, wanted))
 
 
 def fuzzy_lines(lines: DataFrame, pattern: str, threshold: float, lower: bool = True) -> DataFrame:
     text, wanted = (F.lower("text"), F.lower(F.lit(pattern))) if lower else (F.col("text"), F.lit(pattern))
-    return lines.where(similar_enough(text, wanted, threshold)).withColumn("score", similarity(text, wanted))
+    return lines.where(similar_enough(text, wanted, threshold, len(pattern))).withColumn("score", similarity(text, wanted))
 
 
 def by_font(elements: DataFrame, font: str, size: float | None = None, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import canonical_font, rect, rect_expand, rect_union, score_colour, similarity, transform_point
 from foliospark.operators import align, chunk, layout, lineage, output, search, stats, style
+from foliospark.plans import alignsql
 from foliospark.plans.docql import parse_template
 from foliospark.sources import text
 
@@ -236,8 +237,7 @@ DEST = "SELECT doc_id, 'd' || doc_idx AS name, page_number - 1 AS page, CASE WHE
 @query(f""", d AS (SELECT doc_id, page + 1 AS page_number, coalesce(x - 10, 0) AS dx0, coalesce(x + 10, 2000) AS dx1, y - 10 AS dy0, y + 10 AS dy1 FROM ({DEST}))
 SELECT e.doc_id, e.doc_idx, count(d.doc_id) AS refs FROM elements e LEFT JOIN d ON e.doc_id = d.doc_id AND e.page_number = d.page_number AND x0 >= dx0 AND x1 <= dx1 AND y0 >= dy0 AND y1 <= dy1 GROUP BY ALL""")
 def ref_counts(e):
-    d = e.where("doc_idx % 2 = 0").select("doc_id", F.concat(F.lit("d"), "doc_idx").alias("name"), (F.col("page_number") - 1).alias("page"), F.when(F.col("doc_idx") % 3 == 0, F.col("x0") + 5).alias("x"), (F.col("y0") + 2).alias("y"))
-    return stats.reference_counts(e, d)
+    return stats.reference_counts(e, destinations(e))
 
 
 FONTS = ["TimesNewRomanPS-BoldMT", "TimesNewRomanPS-ItalicMT", "TimesNewRomanPSMT", "TimesNewRomanPS-BoldItalicMT", "Arial", "Arial-Bold", "Arial-BoldItalic", "Arial-Italic", "ArialMT", "Arial-BoldMT", "CourierNew", "CourierNew-Bold", "DejaVuSans-Bold"]
@@ -277,17 +277,20 @@ def blocks(e):
     return layout.blocks(e, 40.0, 30.0)
 
 
-def chunk_sql(limit: int, overlap: int, size: str = "strlen(text)", tokens: bool = False) -> str:
-    """Chains of starts over the prefix sums, as a recursive query. P has the sum before each place and after the last."""
+def chunk_sql(limit: int | str, overlap: int | str, size: str = "strlen(text)", tokens: bool = False, source: str = "elements", own: tuple[str, ...] = ()) -> str:
+    """Chains of starts over the prefix sums, as a recursive query. P has the sum before each place and after the last.
+
+    own: columns of the source that are the same in all of a group, for limits that differ between groups."""
+    plain, of_p, most = "".join(f", {c}" for c in own), "".join(f", p.{c}" for c in own), "".join(f", max({c})" for c in own)
     end = f"coalesce(max(q.i) FILTER (q.s - p.s <= {limit}), p.i)"
     if tokens:
         end = f"greatest(p.i + 1, least({end}, coalesce(min(q.i) FILTER (q.s - p.s = {limit} AND q.i > p.i), {end})))"
     else:
         end = f"greatest({end}, coalesce(min(q.i) FILTER (q.s > p.s), max(q.n)))"
-    return f""", t AS (SELECT doc_id, doc_idx, row_number() OVER (PARTITION BY doc_id ORDER BY doc_idx) - 1 AS i, {size} AS len FROM elements),
+    return f""", t AS (SELECT doc_id, doc_idx{plain}, row_number() OVER (PARTITION BY doc_id ORDER BY doc_idx) - 1 AS i, {size} AS len FROM {source}),
 n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
-p AS (SELECT t.doc_id, i, n, coalesce(sum(len) OVER (PARTITION BY t.doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t JOIN n USING (doc_id) UNION ALL SELECT t.doc_id, max(n), max(n), sum(len) FROM t JOIN n USING (doc_id) GROUP BY t.doc_id),
-e AS (SELECT p.doc_id, p.i, p.n, {end} AS e FROM p JOIN p q ON p.doc_id = q.doc_id AND q.i >= p.i WHERE p.i < p.n GROUP BY p.doc_id, p.i, p.n, p.s),
+p AS (SELECT t.doc_id, i, n{plain}, coalesce(sum(len) OVER (PARTITION BY t.doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t JOIN n USING (doc_id) UNION ALL SELECT t.doc_id, max(n), max(n){most}, sum(len) FROM t JOIN n USING (doc_id) GROUP BY t.doc_id),
+e AS (SELECT p.doc_id, p.i, p.n, {end} AS e FROM p JOIN p q ON p.doc_id = q.doc_id AND q.i >= p.i WHERE p.i < p.n GROUP BY p.doc_id, p.i, p.n, p.s{of_p}),
 x AS (SELECT e.doc_id, e.i, e.n, e.e, coalesce(max(q.i) FILTER (z.s - q.s >= {overlap} AND q.i > e.i), e.e) AS nxt FROM e JOIN p z ON z.doc_id = e.doc_id AND z.i = e.e JOIN p q ON q.doc_id = e.doc_id AND q.i >= e.i AND q.i <= e.e GROUP BY e.doc_id, e.i, e.n, e.e),
 c AS (WITH RECURSIVE w AS (SELECT doc_id, i, n, e, nxt, 0 AS chunk FROM x WHERE i = 0 UNION ALL SELECT x.doc_id, x.i, x.n, x.e, x.nxt, chunk + 1 FROM w JOIN x ON x.doc_id = w.doc_id AND x.i = w.nxt WHERE w.e < w.n) SELECT doc_id, chunk, a.doc_idx AS first_idx, b.doc_idx AS last_idx FROM w JOIN t a USING (doc_id, i) JOIN t b ON b.doc_id = w.doc_id AND b.i = w.e - 1)"""
 
@@ -320,47 +323,126 @@ def chunk_pages(e):
     return stats.chunk_pages(chunk.members(e, chunk.ranges(e, 1500, 300)), ["doc_id", "chunk"])
 
 
-@query()
+MATCHED = " SELECT doc_id, seq, node, depth, type, start_idx, stop_idx, end_idx, parent_seq, output_parent FROM matches"
+END, INNER = "The the of and.", "That the is and the."
+CHAPTER, CHAPTER_END = "The the of and.", "Of the and."
+NESTED_SQL = f", {STYLED}" + alignsql.nested(CHAPTER, CHAPTER_END, INNER)
+
+
+@query(f", {STYLED}" + alignsql.one_section(PATTERN, END) + MATCHED)
 def section_simple(e):
     return align.align(e, f'Section(match="{PATTERN}", end_match="The the of and.", as="intro")')
 
 
-@query()
+@query(f", {STYLED}" + alignsql.one_section(PATTERN) + MATCHED)
 def section_end_fallback(e):
     return align.align(e, SECTION)
 
 
-@query()
+@query(NESTED_SQL + MATCHED)
 def section_nested(e):
     return align.align(e, NESTED.replace("match=", "match="))
 
 
-@query()
+@query(f", {STYLED}" + alignsql.between_chunks(PATTERN) + MATCHED)
 def chunk_around_sections(e):
     return align.align(e, f'TextChunk() {SECTION} {{ TextChunk() }} TextChunk()')
 
 
-@query()
+DESTINED = f""", d AS (SELECT doc_id, page + 1 AS page_number, coalesce(x - 10, 0) AS dx0, coalesce(x + 10, 2000) AS dx1, y - 10 AS dy0, y + 10 AS dy1 FROM ({DEST})),
+refs AS (SELECT e.doc_id, e.doc_idx, count(d.doc_id) AS refs FROM elements e LEFT JOIN d ON e.doc_id = d.doc_id AND e.page_number = d.page_number AND x0 >= dx0 AND x1 <= dx1 AND y0 >= dy0 AND y1 <= dy1 GROUP BY ALL)"""
+
+
+def destinations(e: DataFrame) -> DataFrame:
+    return e.where("doc_idx % 2 = 0").select("doc_id", F.concat(F.lit("d"), "doc_idx").alias("name"), (F.col("page_number") - 1).alias("page"), F.when(F.col("doc_idx") % 3 == 0, F.col("x0") + 5).alias("x"), (F.col("y0") + 2).alias("y"))
+
+
+@query(f"{DESTINED}, {STYLED}" + alignsql.one_section(CHAPTER, CHAPTER_END, "refs", 0.33) + MATCHED)
+def section_references(e):
+    return align.align(e, f'Section(match=["{CHAPTER}", 330], end_match=["{CHAPTER_END}", 330])', stats.reference_counts(e, destinations(e)))
+
+
+@query(f"{DESTINED} SELECT doc_id, doc_idx FROM refs WHERE refs >= 1")
+def by_references(e):
+    return search.by_references(e, stats.reference_counts(e, destinations(e)), 1).select(*KEY)
+
+
+ABOUT = {0: (400, 100, None, None), 1: (500, 150, "body", "Section"), 2: (300, 0, "body", "Section"), 3: (500, 150, INNER, "Section"), 4: (500, 150, INNER, "Section")}
+
+
+def about(k: int) -> str:
+    return "CASE node " + " ".join(f"WHEN {n} THEN " + (repr(v[k]) if v[k] is not None else "NULL") for n, v in ABOUT.items()) + " END"
+
+
+def tree_sql(matched: str) -> str:
+    """The output rows of matches of the nested template."""
+    src = f", src AS (SELECT e.doc_id * 8 + seq AS doc_id, doc_idx, text, page_number, {about(0)} AS lim, {about(1)} AS ovl FROM elements e JOIN matches m ON m.doc_id = e.doc_id AND doc_idx >= start_idx AND doc_idx < stop_idx)"
+    made = chunk_sql("p.lim", "z.ovl", source="src", own=("lim", "ovl")) + CHUNKED.replace("elements", "src").replace("SELECT doc_id, chunk, string_agg", ", o AS (SELECT doc_id, chunk, string_agg", 1)
+    return matched + src + made + f"""), y AS (SELECT x.doc_id, x.seq, x.node, x.output_parent, o.* EXCLUDE doc_id, CAST(row_number() OVER (PARTITION BY x.doc_id ORDER BY x.seq, chunk) - 1 AS INTEGER) AS out_idx FROM o JOIN matches x ON o.doc_id = x.doc_id * 8 + x.seq)
+SELECT y.doc_id, y.out_idx, 'Text' AS type, y.text, y.out_idx AS chunk_index, CASE WHEN q.out_idx IS NOT NULL THEN 'Section' END AS parent_name, q.out_idx AS parent_index, {about(2).replace("node", "y.node")} AS section, {about(3).replace("node", "y.node")} AS section_name, y.primary_page, y.page_numbers, y.chunk_element_count, y.chunk_char_count
+FROM y LEFT JOIN y q ON q.doc_id = y.doc_id AND q.seq = y.output_parent AND q.chunk = 0"""
+
+
+#: The nested template with thresholds that many documents meet.
+LOW = (0.33, 0.33, 0.3)
+DEEP = NESTED.replace(f'"{CHAPTER}"', f'["{CHAPTER}", 330]').replace(f'"{CHAPTER_END}"', f'["{CHAPTER_END}", 330]').replace(f'"{INNER}"', f'["{INNER}", 300]')
+DEEP_SQL = f", {STYLED}" + alignsql.nested(CHAPTER, CHAPTER_END, INNER, LOW)
+
+
+@query(DEEP_SQL + MATCHED)
+def section_deep(e):
+    return align.align(e, DEEP)
+
+
+@query(tree_sql(DEEP_SQL))
+def output_deep(e):
+    return output.outputs(e, DEEP)
+
+
+@query(tree_sql(NESTED_SQL))
 def output_tree(e):
     return output.outputs(e, NESTED)
 
 
-@query(chunk_sql(500, 150) + CHUNKED.replace("SELECT doc_id, chunk, string_agg", ", o AS (SELECT doc_id, chunk, string_agg", 1) + ") SELECT doc_id, chunk AS out_idx, 'Text' AS type, text, chunk AS chunk_index, CAST(NULL AS VARCHAR) AS parent_name, CAST(NULL AS INTEGER) AS parent_index, CAST(NULL AS VARCHAR) AS section, CAST(NULL AS VARCHAR) AS section_name, primary_page, page_numbers, chunk_element_count, chunk_char_count FROM o")
+ONE_LEVEL = CHUNKED.replace("SELECT doc_id, chunk, string_agg", ", o AS (SELECT doc_id, chunk, string_agg", 1)
+
+
+@query(chunk_sql(500, 150) + ONE_LEVEL + ") SELECT doc_id, chunk AS out_idx, 'Text' AS type, text, chunk AS chunk_index, CAST(NULL AS VARCHAR) AS parent_name, CAST(NULL AS INTEGER) AS parent_index, CAST(NULL AS VARCHAR) AS section, CAST(NULL AS VARCHAR) AS section_name, primary_page, page_numbers, chunk_element_count, chunk_char_count FROM o")
 def output_chunks(e):
     return output.outputs(e, ALL)
 
 
-@query()
+@query(chunk_sql(500, 150) + ONE_LEVEL + """), j AS (SELECT doc_id, chunk, '{"type":"Text","text":' || to_json(text) || ',"chunk_index":' || chunk || ',"metadata":{"primary_page":' || primary_page || ',"page_numbers":[' || array_to_string(page_numbers, ',') || '],"chunk_element_count":' || chunk_element_count || ',"chunk_char_count":' || chunk_char_count || '}}' AS json FROM o)
+SELECT doc_id, '[' || string_agg(json, ',' ORDER BY chunk) || ']' AS json FROM j GROUP BY doc_id""")
 def output_json(e):
     return output.document_json(output.outputs(e, ALL))
 
 
-@query()
+TAG = "|".join(text.TAGS)
+
+
+@query(f"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:{TAG})[ >].*?</(?:{TAG})>') AS found FROM pages),
+f AS (SELECT page_id AS doc_id, unnest(found) AS raw, CAST(unnest(range(len(found))) AS INTEGER) AS doc_idx FROM x),
+g AS (SELECT doc_id, doc_idx, regexp_extract(raw, '^<(\\w+)', 1) AS tag, trim(regexp_replace(raw, '(?s)<[^>]*>', '', 'g')) AS text FROM f),
+h AS (SELECT *, CASE tag {" ".join(f"WHEN '{k}' THEN '{f}'" for k, (f, _) in text.TAGS.items())} END AS font_name, CAST(CASE tag {" ".join(f"WHEN '{k}' THEN {z}" for k, (_, z) in text.TAGS.items())} END AS DOUBLE) AS font_size FROM g)
+SELECT doc_id, doc_idx, CAST(doc_idx // 40 + 1 AS INTEGER) AS page_number, 'text' AS kind, text, font_name, CASE font_name WHEN 'Arial' THEN 'Helvetica' WHEN 'TimesNewRomanPSMT' THEN 'Times-Roman' ELSE font_name END AS font_canon, font_size, CAST(50 AS DOUBLE) AS x0, CAST(40 + 18 * (doc_idx % 40) AS DOUBLE) AS y0, CAST(50 + 8 * strlen(text) AS DOUBLE) AS x1, 40 + 18 * (doc_idx % 40) + font_size AS y1 FROM h""", raw=True)
 def page_elements(spark, sf_dir):
     return text.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(*[c for c in SHOWN.split(", ")])
 
 
-_QUERIES["page_elements"] = page_elements
+@query(f"SELECT doc_id, doc_idx, round(1 - levenshtein(lower(text), '{PATTERN.lower()}') / greatest(length(text), {len(PATTERN)}), 6) AS score FROM elements WHERE length(text) = strlen(text) AND length(text) > 0 AND page_number = 1 AND 1 - levenshtein(lower(text), '{PATTERN.lower()}') / greatest(length(text), {len(PATTERN)}) >= 0.35")
+def fuzzy_lines(e):
+    return search.fuzzy_lines(layout.lines(search.on_page(ascii_only(e), 1)), PATTERN, 0.35).select("doc_id", F.col("idxs")[0].alias("doc_idx"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, CAST(3 AS INTEGER) AS line, text, font_canon, font_size, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY doc_idx DESC) - 1 AS k FROM elements WHERE page_number = 2) WHERE k = 3")
+def line_by_id(e):
+    return layout.lines(search.on_page(e, 2)).where("line = 3").select("doc_id", "line", "text", "font_canon", "font_size", "x0", "y0", "x1", "y1")
+
+
+@query(", g AS (SELECT doc_id, avg(font_size) AS mean, stddev_pop(font_size) AS sd FROM elements WHERE text_row >= 3 AND text_row < 30 GROUP BY doc_id) SELECT DISTINCT doc_id, round(coalesce(mean, 12), 6) AS mean, round(coalesce(sd, 0), 6) AS sd FROM elements LEFT JOIN g USING (doc_id)")
+def size_scope(e):
+    return stats.size_stats(e, 3, 30).select("doc_id", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 @query(f"SELECT doc_id, doc_idx, x0 - 2.5 AS ex0, y0 - 2.5 AS ey0, least(x0, 100) AS ux0, greatest(x1, 200) AS ux1, 2 * x0 + 10 AS tx, 2 * y0 + 20 AS ty, CAST(255 * least(1.0, 2 * least(x0 / 100, 1.0)) AS INTEGER) AS green FROM elements".replace("CAST(255 * least(1.0, 2 * least(x0 / 100, 1.0)) AS INTEGER)", "CAST(floor(255 * least(1.0, 2 * least(x0 / 100, 1.0))) AS INTEGER)"))
@@ -388,6 +470,43 @@ def lineage_tree(spark, sf_dir):
     return lineage.tree(pairs(spark, sf_dir), roots)
 
 
+@query("""WITH RECURSIVE r AS (SELECT DISTINCT CASE WHEN turn = 0 THEN conv_id || '' ELSE conv_id || ':' || (turn - 1) END AS parent, conv_id || ':' || turn AS child FROM conversations),
+b AS (SELECT DISTINCT conv_id || '' AS root, conv_id || '' AS entity, 0 AS level, conv_id || '' AS path FROM conversations UNION ALL SELECT root, child, level + 1, path || '/' || child FROM b JOIN r ON r.parent = b.entity) SELECT * FROM b""", raw=True)
+def lineage_forest(spark, sf_dir):
+    """Every conversation's tree, whatever its depth."""
+    return lineage.tree(pairs(spark, sf_dir), turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("root")).distinct())
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event for each turn, and one for its conversation."""
+    t = turns(spark, sf_dir)
+    of_turn = t.select(F.concat_ws(":", "conv_id", "turn").alias("entity"), F.col("turn").alias("seq"), F.concat(F.lit("structure="), "role", F.lit(" bytes="), F.octet_length("text")).alias("message"))
+    return of_turn.unionByName(t.where("turn = 0").select(F.col("conv_id").cast("string").alias("entity"), F.lit(-1).cast("long").alias("seq"), F.lit("opened").alias("message")))
+
+
+TOLD = "WITH m AS (SELECT conv_id || ':' || turn AS entity, turn AS seq, 'structure=' || role || ' bytes=' || strlen(text) AS message FROM conversations UNION ALL SELECT conv_id || '', -1, 'opened' FROM conversations WHERE turn = 0)"
+
+
+@query(TOLD + ", r AS (SELECT DISTINCT CASE WHEN turn = 0 THEN conv_id || '' ELSE conv_id || ':' || (turn - 1) END AS parent, conv_id || ':' || turn AS child FROM conversations) SELECT entity AS root, entity, seq, message FROM m UNION ALL SELECT parent, entity, m.seq, message FROM r JOIN m ON m.entity = r.child", raw=True)
+def lineage_events(spark, sf_dir):
+    return lineage.with_children(messages(spark, sf_dir), pairs(spark, sf_dir))
+
+
+@query("SELECT '7:' || turn AS child, turn AS seq FROM conversations WHERE conv_id = 7 AND turn = 1", raw=True)
+def lineage_children(spark, sf_dir):
+    return lineage.children(pairs(spark, sf_dir), "7:0")
+
+
+@query(TOLD + " SELECT entity, regexp_extract(message, 'structure=(\\w+)', 1) AS structure FROM m WHERE regexp_extract(message, 'structure=(\\w+)', 1) <> ''", raw=True)
+def lineage_structures(spark, sf_dir):
+    return lineage.structures(messages(spark, sf_dir))
+
+
+@query(TOLD + " SELECT DISTINCT unnest(regexp_extract_all(message, '(\\w+)=', 1)) AS name FROM m", raw=True)
+def lineage_fields(spark, sf_dir):
+    return lineage.field_names(messages(spark, sf_dir))
+
+
 @query("SELECT conv_id || ':' || turn AS child, min(CASE WHEN turn = 0 THEN conv_id || '' ELSE conv_id || ':' || (turn - 1) END) AS parent FROM conversations GROUP BY 1", raw=True)
 def lineage_parents(spark, sf_dir):
     return lineage.parents(pairs(spark, sf_dir))

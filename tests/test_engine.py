@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import canonical_font, similarity, transform_rect, rect
 from foliospark.operators import align, chunk, layout, lineage, output, search, stats, style
+from foliospark.sources import text
 
 from .builders import elements
 
@@ -156,6 +157,35 @@ def test_children_without_ends(spark):
     assert [m[2:4] for m in matched(spark, rows, t)] == [(0, 6), (2, 4), (4, 6)]
 
 
+def test_groups_of_unlike_limits_are_chunked_at_once(spark):
+    rng = random.Random(7)
+    given, want, made = [(40, 10), (25, 0), (60, 45), (0, 5)], {}, []
+    for d in range(12):
+        lens = [rng.choice([0, 0, 1, 7, 20, 90]) for _ in range(rng.randint(1, 40))]
+        made += [(d, i, "text", "x" * n, d % 4) for i, n in enumerate(lens)]
+        want[d] = plain_chunks(lens, *given[d % 4])
+    e = spark.createDataFrame(made, "doc_id bigint, doc_idx int, kind string, text string, which int").withColumn("page_number", F.lit(1))
+    got = {}
+    for r in chunk.chunks(e, settings=(given, F.col("which"))).orderBy("doc_id", "chunk").collect():
+        got.setdefault(r["doc_id"], []).append((r["first_idx"], r["last_idx"]))
+    alone = {d: [(r["first_idx"], r["last_idx"]) for r in chunk.chunks(e.where(F.col("doc_id") == d), *given[d % 4]).orderBy("chunk").collect()] for d in (0, 1, 2, 3)}
+    assert want == got and all(got[d] == own for d, own in alone.items())
+
+
+def test_chunks_of_many_lines_take_time_in_proportion(spark):
+    """A frame that looks at all later lines would take over a minute here, and the follower's blocks must join up."""
+    d = spark.createDataFrame([(1, "\n".join("x" * 19 for _ in range(30_000)))], "doc_id bigint, text string")
+    found = [(r["first_idx"], r["last_idx"]) for r in chunk.ranges(text.from_documents(d), 500, 150).orderBy("chunk").collect()]
+    assert found == plain_chunks([19] * 30_000, 500, 150)
+
+
+def test_alignment_of_documents_with_names(spark):
+    e = elements(spark, [("Title", 20, 50, 60), ("body", 12, 50, 90), ("more", 12, 50, 120)]).withColumn("doc_id", F.lit("a/b.pdf"))
+    found = align.align(e, 'Section(match="Title")').first()
+    assert found["doc_id"] == "a/b.pdf" and found["start_idx"] == 0
+    assert output.outputs(e, 'Section(match="Title")').first()["doc_id"] == "a/b.pdf"
+
+
 def test_chunks_around_a_section(spark):
     rows = doc(*[("intro words", 12)] * 3, ("Main Section", 16), ("body text", 12), ("body text", 12), ("The Last Line", 14), *[("closing", 12)] * 2)
     t = 'TextChunk Section(match="Main Section", end_match="The Last Line") { TextChunk } TextChunk'
