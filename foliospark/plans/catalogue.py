@@ -14,7 +14,7 @@ from foliospark.functions import canonical_font, rect, rect_expand, rect_union,
 from foliospark.operators import align, chunk, layout, lineage, output, search, stats, style
 from foliospark.plans import alignsql
 from foliospark.plans.docql import parse_template
-from foliospark.sources import text
+from foliospark.sources import pdf, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 PATTERN = "And therhean is the is esndha reedes ha."
@@ -430,6 +430,34 @@ def page_elements(spark, sf_dir):
     return text.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(*[c for c in SHOWN.split(", ")])
 
 
+def as_pdf(e: DataFrame) -> DataFrame:
+    """doc_id and content: a file of one page for each document, a line for each of its lines that has letters, as ``PRINTED`` says."""
+    printed = e.withColumn("text", F.trim(F.regexp_replace("text", "[^A-Za-z0-9 ,.]", ""))).where("text <> ''")
+    row = F.concat(F.lit("BT /F1 "), F.col("font_size").cast("int").cast("string"), F.lit(" Tf 50 -"), (20 * F.col("doc_idx")).cast("string"), F.lit(" Td ("), "text", F.lit(") Tj ET\n"))
+    body = printed.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_idx", row.alias("row")))), lambda x: x.row), "").alias("body"), (20 * F.max("doc_idx") + 100).alias("deep"))
+    parts = [
+        F.lit("<< /Type /Catalog /Pages 2 0 R >>"), F.lit("<< /Type /Pages /Kids [3 0 R] /Count 1 >>"),
+        F.concat(F.lit("<< /Type /Page /Parent 2 0 R /MediaBox [0 -"), F.col("deep").cast("string"), F.lit(" 612 100] /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>")),
+        F.concat(F.lit("<< /Length "), F.octet_length("body").cast("string"), F.lit(" >>\nstream\n"), "body", F.lit("\nendstream")), F.lit("<< /Type /Font /Subtype /Type1 /BaseFont /TimesNewRomanPS-BoldMT >>"),
+    ]
+    objects = [x for k, p in enumerate(parts) for x in (F.lit(f"{k + 1} 0 obj\n"), p, F.lit("\nendobj\n"))]
+    return body.select("doc_id", F.concat(F.lit("%PDF-1.4\n"), *objects, F.lit("trailer << /Root 1 0 R >>\n%%EOF")).cast("binary").alias("content")).repartition(e.sparkSession.sparkContext.defaultParallelism)  # little to move, much to parse
+
+
+PRINTED = "SELECT doc_id, doc_idx AS line, trim(regexp_replace(text, '[^A-Za-z0-9 ,.]', '', 'g')) AS text, font_size FROM elements"
+
+
+@query(f", p AS ({PRINTED}) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS doc_idx, CAST(1 AS INTEGER) AS page_number, text, 'TimesNewRomanPS-BoldMT' AS font_name, 'Times-Bold' AS font_canon, font_size, CAST(50 AS DOUBLE) AS x0 FROM p WHERE text <> ''")
+def pdf_elements(e):
+    """Every document as a PDF file, read back."""
+    return pdf.read(as_pdf(e)).select("doc_id", "doc_idx", "page_number", "text", "font_name", "font_canon", "font_size", "x0")
+
+
+@query(f", p AS ({PRINTED}), q AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS doc_idx, text FROM p WHERE text <> '') SELECT doc_id, doc_idx, text FROM q WHERE length(text) BETWEEN 3 AND 13 AND 1 - levenshtein(text, 'Of the and.') / greatest(length(text), 11) >= 0.4")
+def pdf_search(e):
+    return search.fuzzy(pdf.read(as_pdf(e)).where(F.char_length("text").between(3, 13)), "Of the and.", 0.4).select("doc_id", "doc_idx", "text")
+
+
 @query(f"SELECT doc_id, doc_idx, round(1 - levenshtein(lower(text), '{PATTERN.lower()}') / greatest(length(text), {len(PATTERN)}), 6) AS score FROM elements WHERE length(text) = strlen(text) AND length(text) > 0 AND page_number = 1 AND 1 - levenshtein(lower(text), '{PATTERN.lower()}') / greatest(length(text), {len(PATTERN)}) >= 0.35")
 def fuzzy_lines(e):
     return search.fuzzy_lines(layout.lines(search.on_page(ascii_only(e), 1)), PATTERN, 0.35).select("doc_id", F.col("idxs")[0].alias("doc_idx"), F.round("score", 6).alias("score"))

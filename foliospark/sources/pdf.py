@@ -416,20 +416,41 @@ def _arrow(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 
 
 def read(loaded: DataFrame, advance: bool = True, skip_broken: bool = False) -> DataFrame:
-    """The elements of loaded files (doc_id and content)."""
+    """The elements of loaded files (doc_id and content). A broken file, or one without content, is an error, or with skip_broken
+    has no elements and is named by ``broken``."""
+    kind = loaded.schema["doc_id"].dataType.simpleString()
+    ddl = RAW.replace("doc_id bigint", f"doc_id {kind}")
 
     def run(batches):
         for batch in batches:
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows = [(doc_id, *r) for r in file_elements(content, advance)]
-                except (PdfError, zlib.error):
+                except Exception:  # whatever a malformed file leads to
                     if not skip_broken:
                         raise
                     rows = []
-                yield _arrow(rows, RAW)
+                yield _arrow(rows, ddl)
 
-    return loaded.select("doc_id", "content").mapInArrow(run, RAW).withColumn("font_canon", canonical_font(F.col("font_name"))).select(*ELEMENT_COLUMNS)
+    return loaded.select("doc_id", "content").mapInArrow(run, ddl).withColumn("font_canon", canonical_font(F.col("font_name"))).select(*ELEMENT_COLUMNS)
+
+
+def broken(loaded: DataFrame) -> DataFrame:
+    """doc_id and error of the loaded files that can't be read."""
+    ddl = f"doc_id {loaded.schema['doc_id'].dataType.simpleString()}, error string"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    for _ in file_elements(content, True):
+                        pass
+                except Exception as e:
+                    rows.append((doc_id, f"{type(e).__name__}: {e}"))
+            yield _arrow(rows, ddl)
+
+    return loaded.select("doc_id", "content").mapInArrow(run, ddl)
 
 
 def destinations(loaded: DataFrame) -> DataFrame:

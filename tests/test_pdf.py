@@ -63,3 +63,12 @@ def test_file_and_template(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(make(LINES))
     (tmp_path / "t.tmpl").write_text('Section(match="Title here") { TextChunk(chunkSize=20) }')
     assert '"content one' in pdf.process_pdf_file(spark, str(tmp_path / "a.pdf"), str(tmp_path / "t.tmpl")).replace("Heading ", "")
+
+
+def test_broken_files_are_named(spark):
+    good = make(LINES)
+    loaded = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(b"no file")), ("c", None), ("d", bytearray(good.replace(b"/Kids [3 0 R]", b"/Kids [2 0 R]"))), ("e", bytearray(b""))], "doc_id string, content binary")
+    assert {r["doc_id"] for r in pdf.read(loaded, skip_broken=True).collect()} == {"a"}
+    assert {"b", "c", "e"} <= {r["doc_id"] for r in pdf.broken(loaded).collect()} and "a" not in {r["doc_id"] for r in pdf.broken(loaded).collect()}
+    with pytest.raises(Exception):
+        pdf.read(loaded).collect()
