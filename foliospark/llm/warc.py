@@ -9,16 +9,26 @@ of any origin, reading each file from front to end.
 gaps of ``GAP`` bytes or less are read as one, of ``SPAN`` bytes at most unless one record is longer. Each record's
 digest is checked against the index. A file's ranges are split among tasks by ``STRIPE`` bytes of offset.
 
+Files of other origin may be gzip files (``.warc.gz``) of a member a record, which ranges fetch alike: offset and length
+count compressed bytes. Their index has no keys, and ``read`` then gives file and offset instead. Records that carry no
+digest, or one of another kind than SHA-1, get that of their payload when the index is built, and are checked against that.
+
+Defined results of foreign files: an empty file has no records; records of all types are indexed; white space between
+records is passed over; bytes of a payload that are not UTF-8 become U+FFFD in ``html``; a header that is not UTF-8 is read as
+Latin-1; a file that ends within a record, or a gzip file that isn't cut into a member a record, raises ValueError.
+
 Defined results: a null page is written as an empty payload, flagged so that it is read back as null; null
 URLs are read back as null; repeated rows are records of their own; an empty table writes no file and gives an empty
-index; a digest that differs raises ValueError.
+index; a digest that differs raises ValueError. Only key, URL and page are kept, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,14 +63,22 @@ def parse(data: bytes | memoryview) -> tuple[dict[str, str], bytes | None]:
     """Header and payload of one record."""
     data = bytes(data)
     end = data.index(b"\r\n\r\n")
-    lines = data[:end].decode().split("\r\n")
+    lines = header(data[:end]).split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    head = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
+    head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
     block = data[end + 4 : end + 4 + int(head["content-length"])]
     if head.get("x-payload") == "null":
         return head, None
-    return head, block[block.index(b"\r\n\r\n") + 4 :] if head.get("content-type", "").startswith("application/http") else block
+    start = block.find(b"\r\n\r\n") if head.get("content-type", "").startswith("application/http") else -4
+    return head, block[start + 4 :] if start != -1 else b""
+
+
+def header(data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -100,40 +118,96 @@ def walk(stream, size: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
     """Offset and bytes of each record of a file, read from front to end."""
     held, offset, more = b"", 0, True
     while more or held:
+        skip = len(held) - len(held.lstrip(b"\r\n"))
+        held, offset = held[skip:], offset + skip
         end = held.find(b"\r\n\r\n")
         need = None
         if end >= 0:
-            head = held[:end].decode().lower().split("\r\n")
-            need = end + 8 + next(int(x.partition(":")[2]) for x in head if x.startswith("content-length:"))
-        if need is not None and len(held) >= need:
+            head = header(held[:end]).lower().split("\r\n")
+            length = next((x.partition(":")[2].strip() for x in head[1:] if x.startswith("content-length:")), "")
+            if not head[0].startswith("warc/") or not length.isdigit():
+                raise ValueError(f"no WARC record at {offset}")
+            need = end + 4 + int(length)
+        if need is not None and (len(held) >= need + 4 or len(held) >= need and not more):
+            need += 4 if held[need : need + 4] == b"\r\n\r\n" else 0  # the end belongs to the record
             yield offset, held[:need]
             held, offset = held[need:], offset + need
         elif more:
-            got = stream.read(max(size, (need or 0) - len(held)))
+            got = stream.read(max(size, (need or 0) + 4 - len(held)))
             held, more = held + got, bool(got)
-        else:
+        elif held:
             raise ValueError("a record is cut off")
 
 
+def members(stream, size: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each member of a gzip file."""
+    held, offset = b"", 0
+    while True:
+        held = held or stream.read(size)
+        if not held:
+            return
+        one, out, used = zlib.decompressobj(31), [], 0
+        while not one.eof:
+            if not held and not (held := stream.read(size)):
+                raise ValueError("a record is cut off")
+            out.append(one.decompress(held))
+            used += len(held)
+            held = b""
+        held = one.unused_data
+        used -= len(held)
+        yield offset, used, b"".join(out)
+        offset += used
+
+
+def records(name: str, stream) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and bytes of each record of a file."""
+    if not name.endswith(".gz"):
+        for offset, data in walk(stream):
+            yield offset, len(data), data
+        return
+    for offset, length, data in members(stream):
+        own = list(walk(io.BytesIO(data)))
+        if len(own) > 1:
+            raise ValueError(f"{name} at {offset}: a member holds more than a record")
+        if own:
+            yield offset, length, own[0][1]
+
+
 def build_index(spark: SparkSession, folder: str) -> DataFrame:
     """The index of all WARC files in a folder, a task for each."""
     from pyarrow import fs
 
     files, base = local_path(folder)
-    names = sorted(x.base_name for x in files.get_file_info(fs.FileSelector(base)) if x.base_name.endswith(".warc"))
+    names = sorted(x.base_name for x in files.get_file_info(fs.FileSelector(base)) if x.base_name.endswith((".warc", ".warc.gz")) and not x.base_name.startswith("."))
+    types = {"file": pa.string(), "offset": pa.int64(), "length": pa.int64(), "url": pa.string(), "digest": pa.string()}
 
     def run(batches):
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 own, at = local_path(folder)
-                with own.open_input_stream(f"{at}/{name}") as stream:
-                    rows = [(name, o, len(data), (h := parse(data)[0]).get("warc-target-uri"), h.get("warc-payload-digest")) for o, data in walk(stream)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["file", "offset", "length", "url", "digest"])
+                rows = []
+                with own.open_input_stream(f"{at}/{name}", compression=None) as stream:
+                    for offset, length, data in records(name, stream):
+                        head, payload = parse(data)
+                        told = head.get("warc-payload-digest", "")
+                        rows.append((name, offset, length, head.get("warc-target-uri"), told if told.startswith("sha1:") else digest(payload or b"")))
+                        if len(rows) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
+                            rows = []
+                columns = list(zip(*rows, strict=True)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
     listed = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, len(names)))
     return listed.mapInArrow(run, INDEX)
 
 
+def utf8(pages: list[bytes | None]) -> pa.Array:
+    try:
+        return pa.array(pages, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if p is None else p.decode(errors="replace") for p in pages], pa.string())
+
+
 def ranges(offsets: list[int], lengths: list[int], gap: int = GAP, span: int = SPAN) -> list[tuple[int, int, int, int]]:
     """First and last + 1 record, start and end of each coalesced range of sorted records."""
     out: list[tuple[int, int, int, int]] = []
@@ -146,7 +220,10 @@ def ranges(offsets: list[int], lengths: list[int], gap: int = GAP, span: int = S
 
 
 def read(index: DataFrame, folder: str, key: str = "page_id") -> DataFrame:
-    """key, url, digest and html of the records of an index, or of a part of one."""
+    """key, url, digest and html of the records of an index, or of a part of one; without keys file and offset are the key."""
+    if key not in index.columns:
+        found = read(index.withColumn("key", F.struct("file", "offset")), folder, "key")
+        return found.select("key.file", "key.offset", "url", "digest", "html")
     rows = index.select(index[key].alias("key"), "file", "offset", "length", "url", "digest")
     rows = rows.repartition("file", F.expr(f"offset div {STRIPE}")).sortWithinPartitions("file", "offset")
     kind = rows.schema["key"].dataType.simpleString()
@@ -166,12 +243,13 @@ def read(index: DataFrame, folder: str, key: str = "page_id") -> DataFrame:
                 for i, j, start, end in ranges(offset[a:b], length[a:b]):
                     data, pages = memoryview(stream.read_at(end - start, start)), []
                     for k in range(a + i, a + j):
-                        page = parse(data[offset[k] - start : offset[k] - start + length[k]])[1]
-                        if digest(page or b"") != wanted[k]:
+                        own = data[offset[k] - start : offset[k] - start + length[k]]
+                        page = parse(own if not name[k].endswith(".gz") else zlib.decompress(own, 31).lstrip(b"\r\n"))[1]
+                        if wanted[k] is not None and digest(page or b"") != wanted[k]:
                             raise ValueError(f"{name[k]} at {offset[k]}: the digest differs")
                         pages.append(page)
                     own = batch.slice(a + i, j - i)
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(4), own.column(5), pa.array(pages, pa.binary()).cast(pa.string())], ["key", "url", "digest", "html"])
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(4), own.column(5), utf8(pages)], ["key", "url", "digest", "html"])
                 a = b
 
     return rows.mapInArrow(run, f"key {kind}, url string, digest string, html string").withColumnRenamed("key", key)
@@ -179,8 +257,8 @@ def read(index: DataFrame, folder: str, key: str = "page_id") -> DataFrame:
 
 def first_of_each(index: DataFrame, key: str = "page_id") -> DataFrame:
     """The index rows of the least key of each digest: pages of equal content are fetched once."""
-    least = index.groupBy("digest").agg(F.min(F.struct(key, "file", "offset")).alias("least"))
-    return least.select("digest", F.col("least.file").alias("file"), F.col("least.offset").alias("offset")).join(index.drop("digest"), ["file", "offset"])
+    least = index.groupBy("digest").agg(F.min(F.struct(index[key].alias("key"), "file", "offset", "length", "url")).alias("least"))
+    return least.select(F.col("least.key").alias(key), *(F.col(f"least.{c}").alias(c) for c in ("file", "offset", "length", "url")), "digest")
 
 
 def fetch(pages: DataFrame, key: str = "page_id") -> DataFrame:

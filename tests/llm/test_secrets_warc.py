@@ -143,5 +143,39 @@ def test_ranges_are_coalesced():
     assert warc.ranges([0, 10], [10, 10], gap=50, span=15) == [(0, 1, 0, 10), (1, 2, 10, 20)] and warc.ranges([], []) == []
 
 
-def test_sums(spark):
-    assert len(ODD) == odd(spark).count()
+def foreign(kind, uri, payload, sums=True, http=True):
+    body = (b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" if http else b"") + payload
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, b"Content-Length:" + str(len(body)).encode(), b"Content-Type: application/http" if http else b"Content-Type: text/plain"]
+    head += [b"WARC-Target-URI: " + uri] if uri else []
+    head += [b"WARC-Payload-Digest: " + warc.digest(payload).encode()] if sums else [b"WARC-Payload-Digest: md5:1234"]
+    return b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_files_of_other_origin(spark, tmp_path):
+    import gzip
+
+    given = [foreign(b"warcinfo", None, b"made by hand", http=False), foreign(b"response", b"http://a", b"<p>one</p>"), foreign(b"response", "http://ü".encode("latin-1"), b"\xff\xfe bytes", sums=False), foreign(b"response", b"http://b", b"")]
+    (tmp_path / "a.warc").write_bytes(b"".join(given))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in given))
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc.gz").write_bytes(b"")
+    folder = f"file://{tmp_path}"
+    index = warc.build_index(spark, folder)
+    found = warc.read(index, folder).orderBy("file", "offset").collect()
+    assert [r["file"] for r in found] == ["a.warc"] * 4 + ["b.warc.gz"] * 4
+    assert [r["html"] for r in found] == ["made by hand", "<p>one</p>", "\ufffd\ufffd bytes", ""] * 2 and [r["url"] for r in found] == [None, "http://a", "http://ü", "http://b"] * 2
+    picked = warc.read(index.where("url = 'http://a'"), folder).collect()
+    assert [r["html"] for r in picked] == ["<p>one</p>"] * 2
+    (tmp_path / "e.warc").write_bytes(given[1][:-20])
+    with pytest.raises(Exception, match="cut off"):
+        warc.build_index(spark, folder).collect()
+
+
+def test_warc_of_odd_pages(spark):
+    """Pages that repeat, that are null or very long, and extra columns with the names of the index."""
+    from pyspark.sql import functions as F
+
+    given = [(1, "u", "x" * 3_000_000), (2, "u", "x" * 3_000_000), (2, "u", "x" * 3_000_000), (3, None, None), (4, "v", "y")] * 3
+    made = spark.createDataFrame(given, "page_id bigint, url string, html string").select("*", *[F.lit("mine").alias(c) for c in ("key", "file", "offset", "length", "digest", "least")])
+    found = rows(warc.fetch(made).select("page_id", "url", F.length("html")))
+    assert found == [(1, "u", 3_000_000), (3, None, None), (4, "v", 1)]
