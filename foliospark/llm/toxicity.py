@@ -1,15 +1,17 @@
 """Toxicity by a classifier chain of logistic regressions over the words that mark it.
 
 The categories, in the chain's order, are ``severe`` (at least ``SEVERE`` marking words), ``dense``
-(marking words are at least ``DENSE`` of all words) and ``toxic`` (the given label). Only ``toxic`` is
-labelled by hand; the others are graded on the labelled toxic documents. Each model sees the words' rates and
-presence and the earlier categories' probabilities. While fitting, those are out-of-fold predictions, so a
+(marking words are at least ``DENSE`` of all words) and ``toxic`` (the given label). The tables have one label, ``toxic``;
+the others are grades of the documents so labelled by their marking words, which the models see too, so they order
+the toxic documents and add no knowledge of their own. Each model sees the words' rates and
+presence and the earlier categories' probabilities. While fitting, those are out-of-fold predictions, from models and
+marking words that the fold had no part in, so a
 later model learns from probabilities as they are on texts not seen before; when scoring they come
 from the models fitted on all.
 
 A word is a lower-cased run of letters and digits; its first ``STEM`` bytes count as a word too, if it is longer. Marking words are those whose share of toxic documents
-exceeds that of the others by ``Z`` standard errors, in ``LEAST`` documents at least, the ``FEATURES``
-strongest; of near copies one is counted. ``fit`` uses up to ``PER_CLASS`` labelled documents of each class, the only bound. The
+exceeds that of the others by ``Z`` standard errors, in ``LEAST`` documents at least, however many there are; of
+near copies one is counted. ``fit`` uses up to ``PER_CLASS`` labelled documents of each class, the only bound. The
 threshold is the one of highest F1 on out-of-fold predictions, half-way to the nearest clean score.
 
 Defined results: a null text and one without words have the probabilities of a text without marking
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import MARKS, chunks, labelled, mix, span_hash, words
 from .quality import sigmoid
 
-CATEGORIES, PER_CLASS, FEATURES, FOLDS, SEVERE, DENSE, Z, LEAST, STEM, SEED = ("severe", "dense", "toxic"), 3000, 256, 3, 3, 0.02, 5.0, 3, 4, 11
+CATEGORIES, PER_CLASS, FOLDS, SEVERE, DENSE, Z, LEAST, STEM, SEED = ("severe", "dense", "toxic"), 3000, 3, 3, 0.02, 5.0, 3, 4, 11
 
 
 def counts(column: pa.Array, vocabulary: np.ndarray | None = None):
@@ -69,7 +71,10 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 1e-3
         return w
     x = np.column_stack([x, np.ones(len(x))])
     c = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    rate = 4 / (float(np.linalg.eigvalsh(x.T @ (x * c[:, None]))[-1]) + 4 * ridge)
+    top = np.ones(x.shape[1])
+    for _ in range(30):  # the greatest eigenvalue, a little above
+        top = x.T @ (c * (x @ (top / np.linalg.norm(top))))
+    rate = 4 / (1.1 * float(np.linalg.norm(top)) + 4 * ridge)
     for t in range(steps):
         ahead = v
         g = x.T @ (c * (sigmoid(x @ ahead) - y)) + ridge * np.append(ahead[:-1], 0)
@@ -78,23 +83,55 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 1e-3
     return w
 
 
-def unlike(column: pa.Array, keys: int = 3) -> np.ndarray:
-    """Texts that share none of their least three-word hashes with an earlier one, so that copies count once in a fit."""
-    kept, seen, at = [], set(), 0
+def unlike(column: pa.Array, keys: int = 8, alike: int = 6) -> np.ndarray:
+    """Texts that share fewer than so many of their least three-word hashes with any kept one, so that copies count once in a fit.
+
+    Texts of a Jaccard similarity of 0.9 share six of eight 19 times in 20, those of 0.3 once in 90."""
+    kept, seen, at = [], {}, 0
     for _, _, buf, offsets in chunks(column, lower=True):
         starts, ends, first = words(buf, offsets, MARKS)
         h = span_hash(buf, starts, ends)
         three = h.copy()
         three[:-2] = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)
         for a, b in zip(first[:-1], first[1:], strict=True):
-            own = {(k, int(mix(three[a : max(a + 1, b - 2)] ^ np.uint64(k)).min())) for k in range(keys)} if b > a else set()
-            if not own & seen:
+            own = [(k, int(mix(three[a : max(a + 1, b - 2)] ^ np.uint64(k)).min())) for k in range(keys)] if b > a else []
+            shared: dict[int, int] = {}
+            for key in own:
+                for other in seen.get(key, ()):
+                    shared[other] = shared.get(other, 0) + 1
+            if max(shared.values(), default=0) < alike:
                 kept.append(at)
-            seen |= own
+                for key in own:
+                    seen.setdefault(key, []).append(at)
             at += 1
     return np.array(kept, np.int64)
 
 
+def marking(row: np.ndarray, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the words that mark toxic documents. row: a text of each word, y: labels of the texts, -1 for those left out."""
+    use = y[row] >= 0
+    seen, inverse = np.unique(h[use], return_inverse=True)
+    toxic, all_ = int((y == 1).sum()), int((y >= 0).sum())
+    if not 0 < toxic < all_:
+        return np.zeros(0, np.uint64)
+    bad = np.bincount(inverse, y[row[use]], minlength=len(seen))
+    clean = np.bincount(inverse, minlength=len(seen)) - bad
+    size = (bad + clean) / all_
+    z = (bad / toxic - clean / (all_ - toxic)) / np.sqrt(size * (1 - size) * (1 / toxic + 1 / (all_ - toxic)) + 1e-12)
+    return seen[(bad + clean >= LEAST) & (z >= Z)]
+
+
+def features(row: np.ndarray, h: np.ndarray, n: np.ndarray, total: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each text, and its number of marking words, from words and counts; other words are passed over."""
+    x = np.zeros((len(total), 2 + len(vocabulary)), np.float32)
+    place = np.searchsorted(vocabulary, h)
+    own = vocabulary[np.minimum(place, len(vocabulary) - 1)] == h if len(vocabulary) else np.zeros(len(h), bool)
+    hits = np.bincount(row[own], n[own], minlength=len(total))
+    x[:, 0], x[:, 1] = np.log1p(hits), np.minimum(50 * hits / np.maximum(total, 1), 5)
+    x[row[own], 2 + place[own]] = 1
+    return x, hits
+
+
 @dataclass
 class Chain:
     vocabulary: np.ndarray
@@ -103,12 +140,7 @@ class Chain:
 
     def features(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Features, and the number of marking words and of words of each text."""
-        row, h, n, total = counts(column, self.vocabulary)
-        x = np.zeros((len(total), 2 + len(self.vocabulary)))
-        hits = np.bincount(row, n, minlength=len(total))
-        x[:, 0], x[:, 1] = np.log1p(hits), np.minimum(50 * hits / np.maximum(total, 1), 5)
-        x[row, 2 + np.searchsorted(self.vocabulary, h)] = 1
-        return x, hits
+        return features(*counts(column, self.vocabulary), self.vocabulary)
 
     def probabilities(self, column: pa.Array) -> np.ndarray:
         if not self.weights:
@@ -128,24 +160,18 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = SEED) -> Chain:
     if len(set(y.tolist())) < 2:
         return Chain(np.zeros(0, np.uint64), [], 2.0)
     row, h, n, total = counts(texts)
-    seen, inverse = np.unique(h, return_inverse=True)
-    bad = np.bincount(inverse, y[row], minlength=len(seen))
-    clean = np.bincount(inverse, minlength=len(seen)) - bad
-    p, q, size = bad / y.sum(), clean / (len(y) - y.sum()), (bad + clean) / len(y)
-    z = (p - q) / np.sqrt(size * (1 - size) * (1 / y.sum() + 1 / (len(y) - y.sum())) + 1e-12)
-    z[(bad + clean < LEAST) | (z < Z)] = 0
-    chosen = np.argsort(-z, kind="stable")[: min(FEATURES, int((z > 0).sum()))]
-    chain = Chain(np.sort(seen[chosen]), [], 2.0)
-    x, hits = chain.features(texts)
-    graded = {"toxic": y, "severe": y * (hits >= SEVERE), "dense": y * (hits >= DENSE * np.maximum(total, 1))}
     fold = np.random.default_rng(seed).permutation(len(y)) % FOLDS
-    earlier = np.zeros((len(y), 0))
+    graded = lambda hits: {"toxic": y, "severe": y * (hits >= SEVERE), "dense": y * (hits >= DENSE * np.maximum(total, 1))}
+    chain = Chain(marking(row, h, y), [], 2.0)
+    whole, hits = features(row, h, n, total, chain.vocabulary)
+    parts = [features(row, h, n, total, marking(row, h, np.where(fold == k, -1, y))) for k in range(FOLDS)]  # each knows nothing of its fold's labels
+    earlier = np.zeros((len(y), 0), np.float32)
     for name in CATEGORIES:
-        own, given = graded[name], np.column_stack([x, earlier])
-        chain.weights.append(logistic(given, own))
-        apart = np.zeros(len(y))
-        for k in range(FOLDS):
-            w = logistic(given[fold != k], own[fold != k])
+        chain.weights.append(logistic(np.column_stack([whole, earlier]), graded(hits)[name]))
+        apart = np.zeros(len(y), np.float32)
+        for k, (x, found) in enumerate(parts):
+            given = np.column_stack([x, earlier])
+            w = logistic(given[fold != k], graded(found)[name][fold != k])
             apart[fold == k] = sigmoid(given[fold == k] @ w[:-1] + w[-1])
         earlier = np.column_stack([earlier, apart])
     order = np.argsort(-earlier[:, -1], kind="stable")
