@@ -10,12 +10,14 @@ loses no neighbours.
 A vector goes to the list of the nearest centroid and, at a boundary, to those within ``CLOSE`` times
 that distance, ``REPLICAS`` at most, leaving out a centroid that lies nearer to one already chosen than ``APART`` times
 its distance to the vector (all of it would leave no replicas where vectors point in all directions).
-A query walks the graph from the nearest cells and expands all centroids within ``RATIO`` times the
-least distance found; the lists that remain are searched, however many they are. Distances are Euclidean.
+A query walks the graph from the nearest cells and expands all centroids within a ratio of the
+least distance found; the lists that remain are searched, however many they are. Distances to points in all directions
+differ by about 1 / sqrt(dimensions) of themselves, so the ratio is 1 + ``SPREAD`` / sqrt(dimensions), 1.07 in 64. Distances are Euclidean.
 
 Defined results: vectors that are null, empty, not finite or of another length than most, and rows without
 an id, are neither queries nor neighbours. A row is not its own neighbour, nor are others of its id; equal distances
-go by id; equal vectors are at distance 0. With fewer than k others there are fewer rows.
+go by id; equal vectors are at distance 0. With fewer than k others there are fewer rows. Only ids and vectors are
+kept, so other columns can't clash; ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, local_path, written
 
-K, LIST, LINKS, CLOSE, REPLICAS, APART, RATIO, MOST, SEED = 10, 512, 24, 1.1, 8, 0.35, 1.07, 2_000_000, 3
+K, LIST, LINKS, CLOSE, REPLICAS, APART, SPREAD, MOST, SEED = 10, 512, 24, 1.1, 8, 0.35, 0.56, 2_000_000, 3
 
 
 def bisect(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -61,7 +64,7 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(c: np.ndarray, cell: np.ndarray, tops: np.ndarray, count: int = LINKS) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and ends of the graph's links. Links are sought in a centroid's cell and the eight cells next to it."""
-    near = np.argsort(squared(tops, tops), 1)[:, :9] if len(tops) < 20_000 else np.arange(len(tops))[:, None]
+    near = np.argsort(squared(tops, tops), 1)[:, :9]
     members = [np.flatnonzero(cell == k) for k in range(len(tops))]
     edges = []
     for k, own in enumerate(members):
@@ -188,7 +191,7 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, d)
 
 
-def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", length: int = LIST, close: float = CLOSE, ratio: float = RATIO, seed: int = SEED) -> DataFrame:
+def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", length: int = LIST, close: float = CLOSE, ratio: float | None = None, seed: int = SEED) -> DataFrame:
     """key, rank, neighbour and distance: the k nearest found for every row."""
     kind = vectors.schema[key].dataType.simpleString()
     given = vectors.select(vectors[key].alias("id"), vectors[vector].cast("array<float>").alias("v")).where("id IS NOT NULL AND size(v) > 0")
@@ -197,6 +200,7 @@ def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "e
     if shape is None:
         return vectors.sparkSession.createDataFrame([], result)
     d = shape["d"]
+    ratio = 1 + SPREAD / math.sqrt(d) if ratio is None else ratio
 
     def pack(batches):
         for batch in batches:
@@ -230,7 +234,7 @@ def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "e
 
     made = written(rows.mapInArrow(celled, f"id {kind}, v binary, cell int").groupBy("cell").applyInArrow(cut, "cell int, c binary"), "centroids").orderBy("cell", "c").toArrow()
     c, cell = matrix(made["c"].combine_chunks(), d), made["cell"].to_numpy().astype(np.int64)
-    doors = np.array([int(squared(tops[j : j + 1], c).argmin()) for j in range(len(tops))]) if len(tops) < 2000 else np.searchsorted(cell, np.arange(len(tops))).clip(max=len(c) - 1)
+    doors = np.array([int(squared(tops[j : j + 1], c).argmin()) for j in range(len(tops))])
     path = fresh_path(vectors.sparkSession, "graph")
     Graph(c, *links(c, cell, tops), tops, doors).save(path)
 
@@ -278,14 +282,25 @@ def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "e
 
     found = asked.groupBy("list").cogroup(postings.groupBy("list")).applyInArrow(scan, f"id {kind}, ids array<{kind}>, d array<float>")
 
-    def merge(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
+    def merge(batches):  # sorted by id, so that a few ids at a time are held
+        held, count = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= 1 << 14:
+                table = pa.Table.from_batches(held).combine_chunks()
+                cut = count - pc.sum(pc.equal(table["id"], table["id"][-1])).as_py()  # the last id may have more
+                if cut:
+                    yield merged(table.slice(0, cut).combine_chunks())
+                held, count = table.slice(cut).to_batches(), count - cut
+        if count:
+            yield merged(pa.Table.from_batches(held).combine_chunks())
+
+    def merged(table):
         n = table["ids"].combine_chunks().value_lengths().to_numpy()
         q = np.repeat(table["id"].to_numpy(), n)
-        other, dist = table["ids"].combine_chunks().flatten().to_numpy(), table["d"].combine_chunks().flatten().to_numpy()
+        other, dist = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ids", "d"))
         ok = np.isfinite(dist)
         q, other, dist = q[ok], other[ok], dist[ok]
         order = np.lexsort((dist, other, q))  # replicas once
@@ -299,6 +314,6 @@ def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "e
         start[1:] = q[1:] != q[:-1]
         rank = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
         keep = rank < k
-        yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array((rank[keep] + 1).astype(np.int32)), pa.array(other[keep]), pa.array(np.round(np.sqrt(dist[keep].astype(float)), 5))], ["key", "rank", "neighbour", "distance"])
+        return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array((rank[keep] + 1).astype(np.int32)), pa.array(other[keep]), pa.array(np.round(np.sqrt(dist[keep].astype(float)), 5))], ["key", "rank", "neighbour", "distance"])
 
-    return found.repartition("id").mapInArrow(merge, result.replace(f"{key} ", "key ", 1)).withColumnRenamed("key", key)
+    return found.repartition("id").sortWithinPartitions("id").mapInArrow(merge, result.replace(f"{key} ", "key ", 1)).withColumnRenamed("key", key)
