@@ -11,8 +11,8 @@ selects the k highest, and the selections are merged per task and then per query
 blocks of ``QUERIES`` rows, each block a pass over the documents, so no broadcast grows with them.
 
 Defined results: ties go to the lower id; documents with score 0, without an id or without words are not
-found; a null or empty query finds nothing; repeated rows, of documents or queries, are rows of their own
-(repeated query rows of one id share that id's ranks: the query counts once). Fewer than k matches give fewer rows.
+found; a null or empty query finds nothing; repeated rows of documents are rows of their own; the rows of one query
+id are one query of all their terms. Only ids, texts and scores are kept, so other columns can't clash. Fewer than k matches give fewer rows.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def search(queries: DataFrame, docs: DataFrame, k: int = K, query_key: str = "item_id", key: str = "doc_id", text: str = "text", query_text: str = "text", block: int = QUERIES) -> DataFrame:
     """query_key, rank, key and score of the k best documents of each query."""
-    q = queries.select(queries[query_key].alias("q"), queries[query_text].cast("string").alias("text")).where("q IS NOT NULL").dropDuplicates(["q"])
+    q = queries.select(queries[query_key].alias("q"), queries[query_text].cast("string").alias("text")).where("q IS NOT NULL").groupBy("q").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
     d = docs.select(docs[key].alias("id"), docs[text].cast("string").alias("text"))
     kind, qkind = d.schema["id"].dataType.simpleString(), q.schema["q"].dataType.simpleString()
     blocks = max(1, math.ceil(q.count() / block))
