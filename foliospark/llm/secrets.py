@@ -69,7 +69,7 @@ def candidates(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     named = np.zeros(len(starts), bool)
     named[1:] = np.isin(buf[ends[:-1] - 1], (58, 61))
     named[first[:-1][first[:-1] < len(starts)]] = False
-    long = np.flatnonzero((ends - starts >= 8) | named & (ends - starts >= 6))
+    long = np.flatnonzero((ends - starts >= 7) | named & (ends - starts >= 6))  # 7: a sign and a value of 6
 
     def within(mark: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(mark, dtype=np.int32)])
@@ -282,7 +282,7 @@ def train(column: pa.Array, seed: int = SEED, epochs: int = 10, batch: int = 64,
 
 
 def fit(docs: DataFrame, rows: int = DOCS, seed: int = SEED, key: str = "doc_id", text: str = "text") -> Network:
-    found = sample(docs.select(docs[key], docs[text].cast("string").alias("text")), rows, seed, key).select("text").toArrow()
+    found = sample(docs.select(docs[key], docs[text].cast("string").alias("text")), rows, seed, key).select("text").toArrow().sort_by("text")
     return train(strings(found["text"]), seed)
 
 
@@ -328,6 +328,3 @@ def redacted(docs: DataFrame, net: Network, text: str = "text", length: str = "n
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-
