@@ -212,22 +212,24 @@ def parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, rows: int, seed: int, key: str = "doc_id") -> DataFrame:
-    """About so many rows, chosen by their ids' hashes, so that a task that runs again takes the same."""
+    """About so many rows, chosen by their ids' hashes (rows without an id by those of their content), so that a task that runs again takes the same."""
     n = docs.count()
     if n <= rows:
         return docs
-    return docs.where(F.pmod(F.xxhash64(F.lit(seed), docs[key].cast("string")), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+    by = F.coalesce(docs[key].cast("string"), F.xxhash64(*[docs[c] for c in docs.columns]).cast("string"))
+    return docs.where(F.pmod(F.xxhash64(F.lit(seed), by), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, key: str = "doc_id", text: str = "text") -> tuple[pa.Array, np.ndarray]:
     """Texts and labels (0 or 1) of up to per_class documents of each class, in the order of their ids' hashes.
 
-    Labels of one id are averaged; null ids and labels are left out. The bound keeps what the driver holds fixed."""
+    Labels of one id are averaged; null ids and labels are left out; of an id's rows the least text counts. So the driver
+    holds per_class texts of each class at most."""
     votes = labels.where(labels[key].isNotNull() & labels[label].isNotNull()).groupBy(labels[key].alias("k")).agg((F.avg(labels[label]) >= 0.5).cast("int").alias("label"))
     order = F.xxhash64(F.lit(seed), F.col("k").cast("string"))
     chosen = votes.where("label = 0").orderBy(order).limit(per_class).unionByName(votes.where("label = 1").orderBy(order).limit(per_class))
     rows = docs.join(F.broadcast(chosen), docs[key] == chosen["k"]).select("k", docs[text].cast("string").alias("text"), "label")
-    found = rows.toArrow().sort_by([("k", "ascending"), ("text", "ascending")])
+    found = rows.groupBy("k", "label").agg(F.min("text").alias("text")).select("k", "text", "label").toArrow().sort_by([("k", "ascending"), ("text", "ascending")])
     return strings(found["text"]), found["label"].to_numpy().astype(np.int64)
 
 

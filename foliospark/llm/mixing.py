@@ -16,7 +16,7 @@ a task that runs again settles alike. Leaves hold about ``LEAF`` rows each, of a
 
 Defined results: rows whose source is null form a source of their own; a source without a weight gets
 no rows, and a weight without rows is left out before shares are made. Repeated rows are rows like any
-other. An empty table gives an empty one. All columns are kept as they are, whatever their names.
+other; of unlike rows of one id those of the least content hashes are filled. An empty table gives an empty one. All columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -120,15 +120,16 @@ def copies(docs: DataFrame, weights: Mapping[str | None, float] | None = None, t
     want = shares(counts, weights, sum(counts.values()) if total is None else total)
     p = free(docs, "_mix")
     plan = docs.sparkSession.createDataFrame([(s, want.get(s, 0) // n, want.get(s, 0) % n, n, math.ceil(n / leaf)) for s, n in counts.items()] or [(None, 0, 0, 1, 1)], f"{p}s string, {p}base long, {p}mass long, {p}n long, {p}leaves long")
-    rows = docs.join(F.broadcast(plan) if len(counts) <= 100_000 else plan, docs[source].cast("string").eqNullSafe(plan[f"{p}s"]))
+    rows = docs.join(plan, docs[source].cast("string").eqNullSafe(plan[f"{p}s"]))
     rows = rows.withColumn(f"{p}h", F.xxhash64(F.lit(seed), docs[key].cast("string"), docs[source].cast("string")))
     units = rows.where(f"{p}mass > 0").groupBy(F.col(f"{p}s").alias("source"), F.expr(f"pmod(xxhash64({p}h, 1), {p}leaves)").alias("leaf"), F.col(f"{p}h").alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.first(f"{p}mass").alias("mass"), F.first(f"{p}n").alias("n"))
     units = written(units, "mixing")
     drawn = settle(units, max([math.ceil(n / leaf) for n in counts.values()], default=1), seed).select(F.col("source").alias(f"{p}d"), F.col("h").alias(f"{p}k"), "filled").withColumnRenamed("filled", f"{p}filled")
     rows = rows.join(drawn.hint("shuffle_hash"), F.col(f"{p}s").eqNullSafe(F.col(f"{p}d")) & (F.col(f"{p}h") == F.col(f"{p}k")), "left")
     filled = F.coalesce(F.col(f"{p}filled"), F.lit(0))
-    if units.where("rows > 1").take(1):  # rows of one id: the first of them are filled
-        rows = rows.withColumn(f"{p}o", F.row_number().over(Window.partitionBy(f"{p}s", f"{p}h").orderBy(f"{p}h")))
+    if units.where("rows > 1").take(1):  # rows of one id: the first of them, by their content's hash, are filled
+        content = F.xxhash64(*[docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+        rows = rows.withColumn(f"{p}o", F.row_number().over(Window.partitionBy(f"{p}s", f"{p}h").orderBy(content)))
         filled = (F.col(f"{p}o") <= filled).cast("long")
     return rows.select(*[docs[c] for c in docs.columns], (F.col(f"{p}base") + filled).alias(name))
 
