@@ -41,9 +41,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, LongType, StructField, StructType
 
-from .common import chunks, free, gone, mix, ragged, span_hash, words, written
+from .common import chunks, free, gone, local_path, mix, ragged, span_hash, words, written
 
-NGRAM, THRESHOLD, AGREE, ROWS, TILE, LEAF, BITS, PART, HELD = 2, 0.6, 6.0, 5, 256, 8, np.uint64(48), 1 << 20, 1 << 20
+NGRAM, THRESHOLD, AGREE, ROWS, TILE, LEAF, BITS, PART, HELD, MARKS, SLICES = 2, 0.6, 6.0, 5, 256, 8, np.uint64(48), 1 << 20, 1 << 20, 28, 8
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -349,19 +349,60 @@ def with_name(docs: DataFrame, n: int, text: str, name: str) -> DataFrame:
     return docs.mapInArrow(run, out).toDF(*docs.columns, name)
 
 
+class Marks:
+    """Which of 2^MARKS ranges of names have a node, a bit each: a filter of one size for any number of nodes, which lets some others
+    through and loses none."""
+
+    loaded: tuple[str, np.ndarray] | None = None
+
+    @staticmethod
+    def write(nodes: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                n = batch.column(0).to_numpy().view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array((n >> np.uint64(64 - MARKS)).astype(np.int64))], ["bit"])
+
+        def slice_(group, rows):
+            bits = np.zeros(1 << MARKS - SLICES, bool)
+            bits[rows["bit"].to_numpy() & (len(bits) - 1)] = True
+            return pa.table({"slice": pa.array([group[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+        ranges = nodes.select("node").mapInArrow(run, "bit long").distinct()
+        return written(ranges.groupBy(F.shiftright("bit", MARKS - SLICES).alias("slice")).applyInArrow(slice_, "slice long, bits binary"), "marks")
+
+    @classmethod
+    def load(cls, path: str) -> np.ndarray:
+        if cls.loaded is None or cls.loaded[0] != path:
+            from pyarrow import fs
+            from pyarrow import parquet as pq
+
+            files, at = local_path(path)
+            out = np.zeros(1 << MARKS - 3, np.uint8)
+            for x in files.get_file_info(fs.FileSelector(at)):
+                if x.path.endswith(".parquet"):
+                    t = pq.read_table(x.path, filesystem=files)
+                    for k, bits in zip(t["slice"].to_pylist(), t["bits"].to_pylist(), strict=True):
+                        out[k << MARKS - SLICES - 3 : (k + 1) << MARKS - SLICES - 3] = np.frombuffer(bits, np.uint8)
+            cls.loaded = path, out
+        return cls.loaded[1]
+
+
 def texts_of(docs: DataFrame, n: int, text: str, nodes: DataFrame) -> DataFrame:
-    """node and text of the sets that nodes names, one text of each; a task sends a set's text once."""
+    """node and text of the sets that nodes names, one text of each; a task sends a set's text once, and few others' texts."""
     rows = docs.select(docs[text].cast("string").alias("text"))
+    path = Marks.write(nodes).folder_written
 
     def run(batches):
-        seen = np.zeros(0, np.int64)
+        seen, marks = np.zeros(0, np.int64), Marks.load(path)
         for batch in batches:
             for first, last, buf, offsets in chunks(batch.column(0), lower=True):
                 grams, at = gram_sets(buf, offsets, n)
                 own = np.flatnonzero(np.diff(at))
                 fresh, at0 = np.unique(names(grams, np.append(at[own], at[-1])), return_index=True)
-                new = ~np.isin(fresh, seen, assume_unique=True)
-                seen = np.union1d(seen, fresh)
+                bit = (fresh.view(np.uint64) >> np.uint64(64 - MARKS)).astype(np.int64)
+                new = np.flatnonzero(marks[bit >> 3] >> (7 - (bit & 7)) & 1)
+                new = new[~np.isin(fresh[new], seen, assume_unique=True)]
+                seen = np.union1d(seen, fresh[new])
                 yield pa.RecordBatch.from_arrays([pa.array(fresh[new]), batch.column(0).slice(first, last - first).take(pa.array(own[at0[new]]))], ["node", "text"])
 
     return rows.mapInArrow(run, "node long, text string").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
