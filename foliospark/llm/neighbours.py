@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by balanced posting lists, every row a query.
+"""Approximate nearest neighbours by balanced posting lists. Every row is indexed; every row is a query too, or those that ``asked`` names.
 
 Vectors are cut into lists of about ``LIST`` by bisection: each cut runs through the point, along the line
 between two means, that leaves both sides their share, so lists are balanced. It is done in two levels:
@@ -23,11 +23,12 @@ kept, so other columns can't clash; ids may be of any type that can be ordered.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, local_path, written
@@ -191,8 +192,8 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, d)
 
 
-def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", length: int = LIST, close: float = CLOSE, ratio: float | None = None, seed: int = SEED) -> DataFrame:
-    """key, rank, neighbour and distance: the k nearest found for every row."""
+def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", length: int = LIST, close: float = CLOSE, ratio: float | None = None, seed: int = SEED, asked: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, rank, neighbour and distance: the k nearest found, among all rows, for every row or those whose id meets asked."""
     kind = vectors.schema[key].dataType.simpleString()
     given = vectors.select(vectors[key].alias("id"), vectors[vector].cast("array<float>").alias("v")).where("id IS NOT NULL AND size(v) > 0")
     shape = given.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -253,7 +254,8 @@ def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "e
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(at[a : a + 20_000].astype(np.int32))], ["id", "v", "list"])
 
     schema = f"id {kind}, v binary, list int"
-    postings, asked = rows.mapInArrow(assign, schema), rows.mapInArrow(select, schema)
+    ask = rows if asked is None else rows.where(asked(F.col("id")))
+    postings, asking = rows.mapInArrow(assign, schema), ask.mapInArrow(select, schema)
 
     def scan(_, ask, post):
         if not len(ask) or not len(post):
@@ -280,7 +282,7 @@ def search(vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "e
         offsets = pa.array(np.arange(len(own) + 1) * take, pa.int32())
         return pa.table({"id": ask["id"], "ids": pa.ListArray.from_arrays(offsets, pa.array(ids_.ravel())), "d": pa.ListArray.from_arrays(offsets, pa.array(dists_.ravel()))})
 
-    found = asked.groupBy("list").cogroup(postings.groupBy("list")).applyInArrow(scan, f"id {kind}, ids array<{kind}>, d array<float>")
+    found = asking.groupBy("list").cogroup(postings.groupBy("list")).applyInArrow(scan, f"id {kind}, ids array<{kind}>, d array<float>")
 
     def merge(batches):  # sorted by id, so that a few ids at a time are held
         held, count = [], 0

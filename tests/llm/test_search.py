@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import jaccard, neighbours, topk
+from foliospark.llm import jaccard, neighbours, queries, topk
 from foliospark.llm.common import table
 
 from .helpers import clashing, empty, odd, rows
@@ -158,3 +158,19 @@ def test_neighbours_odd_rows(spark):
     assert rows(neighbours.search(v, k=2)) == [(1, 1, 2, 0.0), (1, 2, 3, 1.0), (2, 1, 1, 0.0), (2, 2, 3, 1.0), (3, 1, 1, 1.0), (3, 2, 2, 1.0)]
     assert neighbours.search(v.limit(0)).count() == 0 and neighbours.search(v.where("vec_id = 1")).count() == 0
     assert rows(neighbours.search(v.withColumn("list", F.lit("mine")).withColumn("rank", F.lit(0)), k=1)) == [(1, 1, 2, 0.0), (2, 1, 1, 0.0), (3, 1, 1, 1.0)]
+
+
+def test_neighbours_of_the_rows_that_are_asked(spark, sf_dir):
+    """Every id that is divisible by 50 is a query, and no other; all rows are neighbours."""
+    data = table(spark, sf_dir, "embeddings").orderBy("vec_id").toPandas()
+    true = brute_neighbours(data.vec_id.tolist(), np.stack(data.embedding.to_list()), 10)
+    found = queries.op2_neighbours(spark, sf_dir).groupBy("vec_id").agg(F.collect_set("neighbour").alias("n"), F.max("rank").alias("r")).collect()
+    assert {r["vec_id"] for r in found} == {i for i in true if i % 50 == 0} and all(r["r"] == 10 for r in found)
+    assert np.mean([len(true[r["vec_id"]] & set(r["n"])) / 10 for r in found]) >= 0.9 and any(n % 50 for r in found for n in r["n"])
+
+
+def test_asking_for_some_gives_their_rows_of_all(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    whole = neighbours.search(v, length=32)
+    assert rows(neighbours.search(v, length=32, asked=lambda i: i % 50 == 0)) == rows(whole.where("vec_id % 50 = 0"))
+    assert neighbours.search(v, asked=lambda i: i < 0).count() == 0
