@@ -21,13 +21,14 @@ a neighbourhood. A large one is cut into tiles of like sizes, tiles of sizes tha
 and each pair of tiles is joined through a tree. No bound on members or partners.
 
 All this is done with sets, each once however many rows have it: a task sends a set's keys when it first meets it, and
-ids come back by a join on the set's name. ``distinct_texts`` needs connections only, not all pairs: each set is
+ids come back by a join on the set's name. ``near_pairs`` gives all pairs of ids, which grow with the square of a group; ``classes`` gives
+each id's class and number of links instead, from the same comparisons. ``distinct_texts`` needs connections only, not all pairs: each set is
 first compared with one it is linked to, and then only with those that it is not yet connected with.
 
 Defined results: null and empty texts and rows without an id are in no pair; repeated rows of one id
 count once; ids of a pair are in order, never equal. Where rows of one id have different texts each
-is compared. In ``distinct_texts`` rows without words and rows without an id stay, and rows of one id and one set
-count once. Extra columns are kept by ``distinct_texts``, whatever their names, and left out by ``near_pairs``.
+is compared. In ``classes`` ids without words are classes of their own. In ``distinct_texts`` rows without words and rows without an id stay, and rows of one id and one set
+count once. Extra columns are kept by ``distinct_texts``, whatever their names, and left out by ``near_pairs`` and ``classes``.
 """
 
 from __future__ import annotations
@@ -505,23 +506,29 @@ def assigned(nodes: DataFrame, t: float, tile: int) -> DataFrame:
     return cut.join(inside, ["root", "tile"]).select(F.col("root").alias("g"), "i", "j", (F.col("tile") == F.col("j")).alias("side"), "node", "sub")
 
 
+def tile_pairs(group, rows: pa.Table, n: int, t: float) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a pair of tiles, left ones first, and of the pairs of t or more among them the rows i, j and the similarity."""
+    sides = rows["side"].to_numpy(zero_copy_only=False)
+    same = group[1].as_py() == group[2].as_py()
+    order = np.argsort(sides, kind="stable")
+    rows = rows.take(pa.array(order))
+    sides, kin = sides[order], rows["sub"].to_numpy()
+    sets, counts = [], [np.zeros(1, np.int64)]
+    for _, _, buf, offsets in chunks(rows["text"], lower=True):
+        g, at = gram_sets(buf, offsets, n)
+        sets.append(g)
+        counts.append(np.diff(at))
+    grams, at = np.concatenate(sets), np.cumsum(np.concatenate(counts))
+    everyone = np.arange(len(sides))
+    return rows, *similar(grams, at, everyone if same else everyone[~sides], everyone if same else everyone[sides], t, kin)
+
+
 def compared(places: DataFrame, texts: DataFrame, n: int, t: float, forest: bool) -> DataFrame:
     """node_a, node_b and jaccard of the pairs of sets that places brings together; forest: only as many as connect what is connected."""
 
     def join(group, rows):
-        sides = rows["side"].to_numpy(zero_copy_only=False)
-        same = group[1].as_py() == group[2].as_py()
-        order = np.argsort(sides, kind="stable")  # left rows first
-        rows = rows.take(pa.array(order))
-        sides, node, kin = sides[order], rows["node"].to_numpy(), rows["sub"].to_numpy()
-        sets, counts = [], [np.zeros(1, np.int64)]
-        for _, _, buf, offsets in chunks(rows["text"], lower=True):
-            g, at = gram_sets(buf, offsets, n)
-            sets.append(g)
-            counts.append(np.diff(at))
-        grams, at = np.concatenate(sets), np.cumsum(np.concatenate(counts))
-        everyone = np.arange(len(sides))
-        i, j, s = similar(grams, at, everyone if same else everyone[~sides], everyone if same else everyone[sides], t, kin)
+        rows, i, j, s = tile_pairs(group, rows, n, t)
+        node = rows["node"].to_numpy()
         if forest and len(i):
             ends = forest_of(np.stack([i, j], 1))
             i, j, s = ends[:, 0], ends[:, 1], np.full(len(ends), np.nan)
@@ -531,6 +538,27 @@ def compared(places: DataFrame, texts: DataFrame, n: int, t: float, forest: bool
     return rows.groupBy("g", "i", "j").applyInArrow(join, "node_a long, node_b long, jaccard double")
 
 
+def tallied(places: DataFrame, texts: DataFrame, n: int, t: float) -> DataFrame:
+    """What all pairs of sets that places brings together come to, in rows that follow the sets: (a, a, the sum of the rows of
+    its partners), (a, b, 0) as many as connect what is connected, and (a, b, null) each pair that has an odd set. texts: node, text, rows, odd."""
+
+    def tally(group, rows):
+        rows, i, j, _ = tile_pairs(group, rows, n, t)
+        node, many, odd = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "rows", "odd"))
+        links = np.zeros(len(node), np.int64)
+        np.add.at(links, i, many[j])
+        np.add.at(links, j, many[i])
+        own, ends = np.flatnonzero(links), forest_of(np.stack([i, j], 1)) if len(i) else np.zeros((0, 2), np.int64)
+        told = odd[i] | odd[j]
+        a, b = np.concatenate([own, ends[:, 0], i[told]]), np.concatenate([own, ends[:, 1], j[told]])
+        known = np.arange(len(a)) < len(own) + len(ends)
+        count = np.concatenate([links[own], np.zeros(len(a) - len(own), np.int64)])
+        return pa.table({"a": node[a], "b": node[b], "links": pa.array(count, mask=~known)})
+
+    rows = places.join(texts, "node").select("g", "i", "j", "side", "node", "sub", "text", "rows", "odd")
+    return rows.groupBy("g", "i", "j").applyInArrow(tally, "a long, b long, links long")
+
+
 def loose(sent_: DataFrame, links: DataFrame) -> DataFrame:
     """node, size and root of the sets that links connect."""
     size = sent_.where("vector IS NOT NULL").groupBy(F.col("name").alias("node")).agg(F.first("size").alias("size"))
@@ -553,6 +581,39 @@ def near_pairs(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: str =
     return verified(docs, n, t, key, text).toDF(f"{key}_a", f"{key}_b", "jaccard")
 
 
+def classes(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """A row for each id: key, class_id, the least id that pairs of similarity t or more connect it with, and links, the other ids that it pairs with.
+
+    Every pair of unlike sets is compared, but summed up where it is found; pairs of ids are made of ids with several sets only."""
+    docs = docs.where(docs[key].isNotNull())
+    about = written(sent(docs, n, t, key, text), "sets")
+    ids = written(about.where("id IS NOT NULL").select("name", "id").distinct(), "ids")
+    several = written(ids.join(ids.groupBy("id").count().where("count > 1").select("id"), "id").select("id", "name"), "several")
+    plain = several.isEmpty()
+    joined = joined_by_key(about, t)
+    nodes = loose(about, joined)
+    rows = ids.groupBy(F.col("name").alias("node")).agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least"))
+    weight = rows.select("node", "rows", F.lit(False).alias("odd")) if plain else rows.join(several.select(F.col("name").alias("node"), F.lit(True).alias("odd")).distinct(), "node", "left").select("node", "rows", F.coalesce("odd", F.lit(False)).alias("odd"))
+    found = written(tallied(assigned(nodes.withColumn("sub", F.col("node")), t, tile), texts_of(docs, n, text, nodes).join(weight, "node"), n, t), "tallied")
+    gone(about, joined, nodes)
+    edges = found.select("a", "b")
+    if not plain:  # an id connects its sets
+        edges = edges.union(several.join(several.groupBy("id").agg(F.min("name").alias("first")), "id").select("first", "name"))
+    sums = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    sets = rows.join(components(edges), "node", "left").join(sums, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    sets = sets.join(sets.groupBy("root").agg(F.min("least").alias("class")), "root").select(F.col("node").alias("name"), "class", "links")
+    of = ids.join(sets, "name").groupBy("id").agg(F.min("class").alias("class"), F.max("links").alias("links"))
+    if not plain:  # pairs of ids that several of their sets make count once
+        near = found.where("links IS NULL").select("a", "b")
+        near = near.union(near.select("b", "a")).union(several.select("name", "name")).distinct()
+        pairs = several.toDF("x", "a").join(near, "a").join(ids.toDF("b", "y"), "b").where("x <> y").groupBy("x", "y").count()
+        whole = several.select("id").distinct().join(pairs.groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("whole")), "id", "left").select("id", F.coalesce("whole", F.lit(0)).alias("whole"))
+        over = pairs.groupBy(F.col("y").alias("id")).agg(F.sum(F.col("count") - 1).alias("over"))
+        of = of.join(whole, "id", "left").join(over, "id", "left").select("id", "class", F.coalesce("whole", F.col("links") - F.coalesce("over", F.lit(0))).alias("links"))
+    everyone = docs.select(docs[key].alias("id")).distinct().join(of, "id", "left")
+    return everyone.select(F.col("id").alias(key), F.coalesce("class", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
 def connected(docs: DataFrame, about: DataFrame, n: int, t: float, text: str, tile: int = TILE) -> DataFrame:
     """node and root of the sets that pairs of similarity t or more connect with others.
 

@@ -174,3 +174,54 @@ def test_asking_for_some_gives_their_rows_of_all(spark, sf_dir):
     whole = neighbours.search(v, length=32)
     assert rows(neighbours.search(v, length=32, asked=lambda i: i % 50 == 0)) == rows(whole.where("vec_id % 50 = 0"))
     assert neighbours.search(v, asked=lambda i: i < 0).count() == 0
+
+
+def in_classes(pairs, ids):
+    """doc_id, class_id and links that pairs of ids come to."""
+    near = {i: set() for i in ids}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    out = []
+    for i in ids:
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out.append((i, min(seen), len(near[i])))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("of", [lambda i: i, lambda i: i * 7 % 90])
+def test_classes_and_links_are_those_of_all_pairs(spark, of):
+    """Ids of one text each, and ids that several unlike texts share; tiles so small that groups span many."""
+    texts = [(of(i), text) for i, text in near_texts(5, 240)]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string")
+    pairs = {(r["a"], r["b"]) for r in jaccard.verified(d).collect()}
+    assert len(pairs) > 50
+    for tile in (jaccard.TILE, 3):
+        assert rows(jaccard.classes(d, tile=tile)) == in_classes(pairs, {i for i, _ in texts})
+
+
+def test_copies_give_a_row_each_and_lose_no_link(spark, tmp_path):
+    """300 copies of one text and 40 near copies of it pair with each other, and the rows follow the documents."""
+    own = [f"w{k}" for k in range(60)]
+    texts = [(i, " ".join(own)) for i in range(300)] + [(i, " ".join([*own, f"x{i}"])) for i in range(300, 340)] + [(400, "something else altogether")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(queries.op10_jaccard(spark, str(tmp_path))) == sorted([(i, 0, 339) for i in range(340)] + [(400, 400, 0)], key=str)
+
+
+@pytest.mark.parametrize("given", [odd, clashing, empty, lambda spark: odd(spark).union(spark.createDataFrame([(7, "one text two text", None, None, 1), (11, "one two three four five six", None, None, 1), (11, "one text two text", None, None, 1), (12, "ONE text\ttwo text", None, None, 1)], odd(spark).schema)), None])
+def test_classes_are_those_of_their_sql(spark, sf_dir, tmp_path, given):
+    import duckdb
+
+    at = sf_dir if given is None else str(tmp_path)
+    if given is not None:
+        given(spark).repartition(3).write.parquet(f"{at}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet{'' if given is None else '/*.parquet'}'")
+    found = queries.op10_jaccard(spark, at)
+    cur = con.execute(queries.oracle_sql()["op10_jaccard"])
+    assert [c[0] for c in cur.description] == found.columns == ["doc_id", "class_id", "links"]
+    assert rows(found) == sorted(cur.fetchall(), key=str)
