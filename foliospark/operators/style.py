@@ -21,10 +21,27 @@ def is_title(text: Column) -> Column:
     return F.forall(F.filter(F.split(text, r"\s+"), lambda w: F.octet_length(w) > 3), lambda w: w.rlike(r"^\p{Lu}"))
 
 
+def _spread(rows: Column) -> Column:
+    """n, total, mean and squares (of the distances from the mean) of the sizes of rows (doc_idx, font_size), taken up one by one.
+
+    Half bins are common (a title over three lines), and there the last bit of the deviation decides. So sizes are taken in
+    document order, and by the steps of SQL's stddev_pop, whatever the order in which rows arrive."""
+
+    def add(a: Column, x: Column) -> Column:
+        n = a.n + 1
+        mean = a.mean + (x.font_size - a.mean) / n
+        return F.struct(n.alias("n"), (a.total + x.font_size).alias("total"), mean.alias("mean"), (a.squares + (x.font_size - mean) * (x.font_size - a.mean)).alias("squares"))
+
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in ("n", "total", "mean", "squares")))
+    found = F.aggregate(F.filter(rows, lambda x: x.font_size.isNotNull()), zero, add)
+    return F.when(found.n > 0, found)
+
+
 def styled(elements: DataFrame) -> DataFrame:
     """Texts with their bins and style_key; two texts have one style if font_canon and style_key are equal."""
-    w = Window.partitionBy("doc_id")
-    e = elements.where("kind = 'text'").withColumn("_mean", F.avg("font_size").over(w)).withColumn("_sd", F.greatest(F.stddev_pop("font_size").over(w), F.lit(1e-6)))
+    e = elements.where("kind = 'text'")
+    e = e.join(e.groupBy("doc_id").agg(_spread(F.array_sort(F.collect_list(F.struct("doc_idx", "font_size")))).alias("_s")), "doc_id")
+    e = e.withColumn("_mean", F.col("_s.total") / F.col("_s.n")).withColumn("_sd", F.greatest(F.sqrt(F.col("_s.squares") / F.col("_s.n")), F.lit(1e-6))).drop("_s").select(*elements.columns, "_mean", "_sd")
     size = F.least(F.round(2 * F.col("font_size")), F.lit(400)).cast("long")
     z = F.greatest(F.least(F.round(2 * (F.col("font_size") - F.col("_mean")) / F.col("_sd")), F.lit(8)), F.lit(-8)).cast("long")
     x = F.greatest(F.least(F.floor((F.col("x0") + F.col("x1")) / 2 / WIDTH * 10), F.lit(9)), F.lit(0)).cast("long")
