@@ -44,3 +44,7 @@ def same_rows(spark, docs, name):
 
 def test_style_key(spark, half_bins):
     same_rows(spark, half_bins, "style_key")
+
+
+def test_style_buckets(spark, half_bins):
+    same_rows(spark, half_bins, "style_buckets")
