@@ -441,7 +441,7 @@ def as_pdf(e: DataFrame) -> DataFrame:
         F.concat(F.lit("<< /Length "), F.octet_length("body").cast("string"), F.lit(" >>\nstream\n"), "body", F.lit("\nendstream")), F.lit("<< /Type /Font /Subtype /Type1 /BaseFont /TimesNewRomanPS-BoldMT >>"),
     ]
     objects = [x for k, p in enumerate(parts) for x in (F.lit(f"{k + 1} 0 obj\n"), p, F.lit("\nendobj\n"))]
-    return body.select("doc_id", F.concat(F.lit("%PDF-1.4\n"), *objects, F.lit("trailer << /Root 1 0 R >>\n%%EOF")).cast("binary").alias("content")).repartition(e.sparkSession.sparkContext.defaultParallelism)  # little to move, much to parse
+    return body.select("doc_id", F.concat(F.lit("%PDF-1.4\n"), *objects, F.lit("trailer << /Root 1 0 R >>\n%%EOF")).cast("binary").alias("content"))
 
 
 PRINTED = "SELECT doc_id, doc_idx AS line, trim(regexp_replace(text, '[^A-Za-z0-9 ,.]', '', 'g')) AS text, font_size FROM elements"
