@@ -453,9 +453,9 @@ def pdf_elements(e):
     return pdf.read(as_pdf(e)).select("doc_id", "doc_idx", "page_number", "text", "font_name", "font_canon", "font_size", "x0")
 
 
-@query(f", p AS ({PRINTED}), q AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS doc_idx, text FROM p WHERE text <> '') SELECT doc_id, doc_idx, text FROM q WHERE length(text) BETWEEN 3 AND 13 AND 1 - levenshtein(text, 'Of the and.') / greatest(length(text), 11) >= 0.4")
+@query(f", p AS ({PRINTED}), q AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS doc_idx, text FROM p WHERE text <> '') SELECT doc_id, doc_idx, text FROM q WHERE 1 - levenshtein(text, 'Of the and.') / greatest(length(text), 11) >= 0.4")
 def pdf_search(e):
-    return search.fuzzy(pdf.read(as_pdf(e)).where(F.char_length("text").between(3, 13)), "Of the and.", 0.4).select("doc_id", "doc_idx", "text")
+    return search.fuzzy(pdf.read(as_pdf(e)), "Of the and.", 0.4).select("doc_id", "doc_idx", "text")
 
 
 @query(f"SELECT doc_id, doc_idx, round(1 - levenshtein(lower(text), '{PATTERN.lower()}') / greatest(length(text), {len(PATTERN)}), 6) AS score FROM elements WHERE length(text) = strlen(text) AND length(text) > 0 AND page_number = 1 AND 1 - levenshtein(lower(text), '{PATTERN.lower()}') / greatest(length(text), {len(PATTERN)}) >= 0.35")
