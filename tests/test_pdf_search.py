@@ -25,3 +25,10 @@ def test_bound_on_lengths_loses_nothing(spark):
         cut = similar_enough(F.col("text"), F.lit(pattern), threshold, len(pattern))
         whole = similarity(F.col("text"), F.lit(pattern)) >= threshold
         assert df.where(cut != whole).count() == 0
+
+
+def test_texts_are_cleaned_once(spark):
+    e = text.from_documents(spark.createDataFrame([(1, "a\n !? \n\n.\n ,\né"), (2, None)], "doc_id bigint, text string"))
+    files = catalogue.as_pdf(e)
+    assert files._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r["text"] for r in catalogue.pdf_elements(e).orderBy("doc_idx").collect()] == ["a", ".", ","]
